@@ -45,7 +45,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = classes.filter("place = 1").select("id", "lead", "hash", "norm", "n").repartitionByRange(n, "lead", "hash")
     groups = firsts.select(F.col("id").alias("class_id"), F.sha2("norm", 256).alias("class_sha"), F.first("id").over(run.orderBy(order)).alias("keep_id"), F.sum("n").over(run).alias("group_size"))
     members = classes.select("id", "first_id", F.sha2("norm", 256).alias("text_sha256"))
-    found = members.join(groups, F.col("first_id").eqNullSafe(F.col("class_id")) & (F.col("text_sha256") == F.col("class_sha")))
+    # Null-safe also for the digests: else a filter for nulls is pushed below one of the two uses of `salted`, which then don't share their exchange.
+    found = members.join(groups, F.col("first_id").eqNullSafe(F.col("class_id")) & F.col("text_sha256").eqNullSafe(F.col("class_sha")))
     return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
