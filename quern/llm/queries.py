@@ -21,6 +21,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), capacity=2048, end=0)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.toxicity import severity, train
+
+    docs = table(spark, sf_dir, "documents")
+    return severity(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.pieces import encode_decode
 
@@ -39,8 +46,14 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.ngram_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op5_piece_encoding, op6_token_counts, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op5_piece_encoding, op6_token_counts, op8_exact_dedup, op10_ngram_jaccard)}
 
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
