@@ -40,6 +40,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.language_model import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.exact_dedup import exact_groups
 
@@ -53,7 +59,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op5_piece_encoding, op6_token_counts, op8_exact_dedup, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op5_piece_encoding, op6_token_counts, op7_language_model, op8_exact_dedup, op10_ngram_jaccard)}
 
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

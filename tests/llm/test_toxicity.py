@@ -19,7 +19,7 @@ def test_held_out_accuracy(spark):
 
 def test_planted_words(spark):
     clean, foul = ["word%d and thing%d are here" % (i * 7, i) if i % 2 else "x%d" % i for i in range(200)], ["Oh, you VILE-thing %d" % i for i in range(80)]
-    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(clean + foul + [None, "", "a vile, long text " + "word " * 20000])], "doc_id long, text string, severity string")
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(clean + foul + [None, "", "Oh you vile text " + "word " * 20000])], "doc_id long, text string, severity string")
     labels = spark.createDataFrame([(i, None if i % 3 else i % 2, int(i >= 200)) for i in range(280)] + [(None, 1, 1), (5, 1, None)], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, labels)
     got = {r.doc_id: r for r in toxicity.severity(docs, model).collect()}
