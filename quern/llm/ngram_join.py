@@ -355,7 +355,8 @@ def jaccard_components(df: DataFrame, n: int = 4, percent: int = 85, id_col: str
     near = components(candidate_edges(docs, n, percent, "text"))
     equal = full.groupBy("a", "b").agg(F.min("id").alias("first"), F.first("n_shingles").alias("n_shingles"))
     members = written(equal.join(near.withColumnRenamed("node", "a"), "a").filter("first IS NOT NULL").select(F.col("first").alias("id"), "component", "n_shingles"), "members")
-    texts = docs.join(blocks(members, percent), "id")
+    # Sort-merge at every size: a broadcast would be chosen for small inputs only, and members grow with the input.
+    texts = docs.join(blocks(members, percent).hint("merge"), "id")
     linked = components(verify(texts, n, percent))
     joined = equal.join(linked.withColumnRenamed("node", "first"), "first", "left").select("a", "b", F.coalesce("component", "first").alias("component_id"))
     sure = full.join(joined, ["a", "b"]).select(F.col("id").alias(id_col), "n_shingles", "component_id")
