@@ -296,6 +296,7 @@ def blocks(members: DataFrame, percent: int) -> DataFrame:
     cells = leveled.groupBy("component", "level").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("total"))
     parts = F.greatest(F.ceil(F.col("docs") / F.lit(DOCS)), F.ceil(F.col("total") / F.lit(GRAMS))).cast("int")
     sums = cells.groupBy("component").agg(F.sum("docs").alias("all_docs"), F.sum("total").alias("all_total"), F.map_from_arrays(F.collect_list("level"), F.collect_list(parts)).alias("parts"))
+    sums = written(sums, "sums")  # as a table of its own the join can be split at a large component
     small = (F.col("all_docs") <= DOCS) & (F.col("all_total") <= GRAMS)
     told = leveled.join(sums, "component").withColumn("cell", F.pmod(F.xxhash64("id"), F.element_at("parts", F.col("level"))).cast("int"))
 
