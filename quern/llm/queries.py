@@ -52,6 +52,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.fingerprints import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.ngram_join import jaccard_components
 
@@ -59,7 +65,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op5_piece_encoding, op6_token_counts, op7_language_model, op8_exact_dedup, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op5_piece_encoding, op6_token_counts, op7_language_model, op8_exact_dedup, op9_fingerprints, op10_ngram_jaccard)}
 
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
