@@ -28,6 +28,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return severity(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.line_dedup import removed_lines
+
+    return removed_lines(table(spark, sf_dir, "documents"), percent=80)
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op5_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.llm.pieces import encode_decode
 
@@ -65,7 +77,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op5_piece_encoding, op6_token_counts, op7_language_model, op8_exact_dedup, op9_fingerprints, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_line_dedup, op4_license_scan, op5_piece_encoding, op6_token_counts, op7_language_model, op8_exact_dedup, op9_fingerprints, op10_ngram_jaccard)}
 
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
