@@ -359,7 +359,7 @@ def jaccard_components(df: DataFrame, n: int = 4, percent: int = 85, id_col: str
     # Sort-merge at every size: a broadcast would be chosen for small inputs only, and members grow with the input.
     texts = docs.join(blocks(members, percent).hint("merge"), "id")
     linked = components(verify(texts, n, percent))
-    joined = equal.join(linked.withColumnRenamed("node", "first"), "first", "left").select("a", "b", F.coalesce("component", "first").alias("component_id"))
+    joined = written(equal.join(linked.withColumnRenamed("node", "first"), "first", "left").select("a", "b", F.coalesce("component", "first").alias("component_id")), "joined")  # so that the next join can be split at a class of many copies
     sure = full.join(joined, ["a", "b"]).select(F.col("id").alias(id_col), "n_shingles", "component_id")
     return sure.unionByName(known.filter("n_shingles = 0").select(F.col("id").alias(id_col), "n_shingles", F.col("id").alias("component_id")))
 
