@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import partitions, text_or_empty, written
 from quern.llm.ngram_join import FACTORS, U64, hashes, mix
+from quern.llm.packed import packed_counts, packed_keys, ranges, runs, unpacked_counts, unpacked_keys
 
 #: Discount of a word's count, and the weight of the unigrams in a context.
 DISCOUNT, PRIOR = 0.75, 100.0
@@ -62,39 +62,6 @@ class Part:
         return np.bincount(self.at[kind][training], minlength=len(self.keys[kind]))
 
 
-def packed_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys by their differences, which mostly fit into 6 bytes; the first byte says how many."""
-    steps = np.diff(keys, prepend=U64(0))
-    width = 6 if not len(steps) or int(steps.max()) < 1 << 48 else 8
-    return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def unpacked_keys(data: bytes) -> np.ndarray:
-    width = data[0]
-    raw = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
-    steps = np.zeros((len(raw), 8), np.uint8)
-    steps[:, :width] = raw
-    return np.cumsum(steps.view("<u8").ravel(), dtype=U64)
-
-
-def packed_counts(counts: np.ndarray) -> bytes:
-    """A byte each, or 255 and the count itself at the end."""
-    counts = counts.astype(np.int64)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
-
-
-def unpacked_counts(data: bytes, n: int) -> np.ndarray:
-    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
-    out[out == 255] = np.frombuffer(data, "<i8", offset=n)
-    return out
-
-
-def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
-    """Rows that come sorted, by their first `keys` columns."""
-    rows = (row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True))
-    return groupby(rows, key=lambda r: r[:keys])
-
-
 class Automaton:
     """The model as far as a part's texts can follow it.
 
@@ -156,9 +123,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             part = Part(ids, texts)
             for kind in (WORDS, PAIRS):
                 keys, counts = part.keys[kind], part.counts(kind)
-                bounds = np.searchsorted((keys >> U64(32)) * U64(n) >> U64(32), np.arange(n + 1, dtype=U64))
-                some = [i for i in range(n) if bounds[i] < bounds[i + 1]]
-                cut = [slice(bounds[i], bounds[i + 1]) for i in some]
+                some, cut = ranges(keys, n)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(some, pa.int32()), pa.array([kind] * len(some), pa.int32()), pa.array([number] * len(some), pa.int32()), pa.array([packed_keys(keys[c]) for c in cut], pa.binary()), pa.array([packed_counts(counts[c]) for c in cut], pa.binary())],
                     names=["range", "kind", "part", "keys", "counts"],

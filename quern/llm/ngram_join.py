@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import by_batch, partitions, text_or_empty, written
 from quern.llm.graph import components
+from quern.llm.packed import packed_keys, packed_owners, ranges, runs, unpacked_keys, unpacked_owners
 
 #: Documents and n-grams of a block that one task compares.
 DOCS, GRAMS = 1_500, 1_500_000
+#: Bytes of text for each range of keys.
+PART = 64 << 20
 #: Words whose hash a worker remembers.
 KEPT = 400_000
 U64 = np.uint64
@@ -134,45 +137,64 @@ def sets(df: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
 def candidate_edges(df: DataFrame, n: int, percent: int, text_col: str) -> DataFrame:
     """Edges (u, v) between the digests of sets that share a key, a star for each key.
 
-    Equal sets of a batch count once, and of sets of a batch with the same key only the first goes on with
-    it, so a key of many documents reaches its task once for each batch. Rows of a key meet sorted, and
-    the task remembers only the first.
+    Keys are dealt by ranges of their hash. Equal sets of a batch count once, and of sets of a batch with
+    the same key only the first goes on with it, so a key of many documents reaches its task once for
+    each batch, and the others are linked to that first at once. Keys go as packed arrays, not as rows.
     """
+    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = max(partitions(df.sparkSession), -(-size // PART))
 
-    def split(batch: pa.RecordBatch) -> dict[str, list]:
-        found, owners, seen = [], [], set()
-        for text in batch.column(0).to_pylist():
-            h = grams(text, n)
-            a, b = digest(h) if len(h) else (0, 0)
-            if not len(h) or (a, b) in seen:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, owners, seen = [], [], set()
+            for text in batch.column(0).to_pylist():
+                h = grams(text, n)
+                a, b = digest(h) if len(h) else (0, 0)
+                if not len(h) or (a, b) in seen:
+                    continue
+                seen.add((a, b))
+                found.append(keys(h, percent))
+                owners.append(np.full(len(found[-1]), a))
+            if not found:
                 continue
-            seen.add((a, b))
-            found.append(keys(h, percent).view(np.int64))
-            owners.append(np.full(len(found[-1]), a))
-        key, owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found, owners))
-        order = np.lexsort((owner, key))
-        key, owner = key[order], owner[order]
-        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-        leader = owner[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))] if len(key) else owner
-        edges = np.unique(np.stack([leader[~new], owner[~new]], axis=1), axis=0)
-        return {"kind": np.concatenate([np.zeros(new.sum(), np.int8), np.ones(len(edges), np.int8)]), "u": np.concatenate([key[new], edges[:, 0]]), "v": np.concatenate([owner[new], edges[:, 1]])}
+            key, owner = np.concatenate(found), np.concatenate(owners)
+            order = np.lexsort((owner, key))
+            key, owner = key[order], owner[order]
+            new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+            leader = owner[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+            edges = np.unique(np.stack([leader[~new], owner[~new]], axis=1), axis=0)
+            key, owner = key[new], owner[new]
+            some, cut = ranges(key, parts)
+            linked = [edges[:, 0].astype("<i8").tobytes()] if len(edges) else []
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([*some, *([int(edges[0, 0] % parts)] if linked else [])], pa.int32()),
+                    pa.array([False] * len(some) + [True] * len(linked)),
+                    pa.array([*(packed_keys(key[c]) for c in cut), *linked], pa.binary()),
+                    pa.array([*(packed_owners(owner[c]) for c in cut), *([edges[:, 1].astype("<i8").tobytes()] if linked else [])], pa.binary()),
+                ],
+                names=["range", "is_edges", "keys", "owners"],
+            )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, leader = None, 0
-        for batch in batches:
-            kind, u, v = (batch.column(i).to_numpy() for i in range(3))
-            if not len(u):
-                continue
-            new = np.concatenate([[(int(kind[0]), int(u[0])) != key], (u[1:] != u[:-1]) | (kind[1:] != kind[:-1])])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(u)), -1))
-            lead = np.where(first >= 0, v[np.maximum(first, 0)], leader)
-            key, leader = (int(kind[-1]), int(u[-1])), int(lead[-1])
-            lead = np.where(kind == 1, u, lead)
-            edges = np.unique(np.stack([lead, v], axis=1)[lead != v], axis=0)
+        for (_, is_edges), rows in runs(batches, 2):
+            both = [(k, o) for _, _, k, o in rows]
+            if is_edges:
+                edges = np.concatenate([np.stack([np.frombuffer(k, "<i8"), np.frombuffer(o, "<i8")], axis=1) for k, o in both])
+            else:
+                key, owner = np.concatenate([unpacked_keys(k) for k, _ in both]), np.concatenate([unpacked_owners(o) for _, o in both])
+                del both
+                order = np.argsort(key, kind="stable")
+                key, owner = key[order], owner[order]
+                new = np.concatenate([[True], key[1:] != key[:-1]])
+                leader = owner[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+                differ = leader != owner
+                edges = np.stack([leader[differ], owner[differ]], axis=1)
+            edges = np.unique(edges, axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["u", "v"])
 
-    rows = by_batch(df.select(text_or_empty(text_col).alias("text")), "kind byte, u long, v long", split)
-    return rows.repartition(partitions(df.sparkSession), "kind", "u").sortWithinPartitions("kind", "u", "v").mapInArrow(meet, "u long, v long")
+    rows = df.select(text_or_empty(text_col).alias("text")).mapInArrow(split, "range int, is_edges boolean, keys binary, owners binary")
+    return rows.repartition(parts, "range").sortWithinPartitions("range", "is_edges").mapInArrow(meet, "u long, v long")
 
 
 class Node:

@@ -8,6 +8,7 @@ import pytest
 pytest.importorskip("quern.llm")
 
 from quern.llm import language_model as lm
+from quern.llm import packed
 
 SCHEMA = "doc_id long, text string, id string, part int"
 ODD = [None, "", " \t", "The the THE", "É é \x1c \x85 a", "x" * 3000, "a b " * 4000]
@@ -86,6 +87,8 @@ def test_packing_of_keys_and_counts():
     rng = np.random.default_rng(1)
     for n, high in ((0, 1), (1, 2**64 - 1), (5, 2**64 - 1), (5000, 2**64 - 1), (5000, 2**40)):
         keys = np.unique(rng.integers(0, high, n, dtype=np.uint64))
-        assert (lm.unpacked_keys(lm.packed_keys(keys)) == keys).all()
+        assert (packed.unpacked_keys(packed.packed_keys(keys)) == keys).all()
         counts = rng.integers(0, 600, len(keys))
-        assert (lm.unpacked_counts(lm.packed_counts(counts), len(keys)) == counts).all()
+        assert (packed.unpacked_counts(packed.packed_counts(counts), len(keys)) == counts).all()
+        owners = rng.integers(-(2**62), 2**62, 7)[rng.integers(0, 7, len(keys))]
+        assert (packed.unpacked_owners(packed.packed_owners(owners)) == owners).all()
