@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import ascii_lower, partitions, text_or_empty, written
+from quern.llm.common import text_or_empty, written
 
 #: Entries of the table of word frequencies and of the table of documents to read again. Both are bounded, whatever the corpus.
 BINS, BITS = 1 << 16, 1 << 16
@@ -20,7 +20,8 @@ def table_of(counts: DataFrame, of: str, kind: str, size: int) -> Column:
 
 def words(line: Column) -> Column:
     """Maximal runs without spaces and tabs."""
-    return F.filter(F.split(F.translate(line, "\t\r", "  "), " "), lambda w: w != "")
+    plain = F.when(F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")), F.translate(line, "\t\r", "  ")).otherwise(line)
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def rarities(lines: DataFrame) -> Column:
@@ -52,7 +53,7 @@ def fits(a: str, b: str, percent: int) -> Column:
 def removed_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The lines that an earlier line of the corpus matches: id, line (from 0), equal.
 
-    Lines are in the order of id and place. Their tokens are the distinct words, A-Z lower-cased; two lines
+    Lines are in the order of id and place. Their tokens are the distinct words in lower case; two lines
     match if the Jaccard similarity of their tokens is at least percent / 100. `equal` says that the earlier
     line has the same tokens. A line without words, so every line of a null or empty text, neither matches
     nor is removed; rows with a null id come first. Ids should be unique.
@@ -61,60 +62,54 @@ def removed_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     rarity (and hash), and classes that match share a token of their prefixes. Rows of a token carry what
     the filters need. First each class is compared with the earliest of each of its tokens, which decides
     most of a large group of variants without its pairs. Only the rest, that no earliest one matches,
-    is joined with all earlier ones. Those that pass are verified on their tokens, read again from their first lines.
+    is joined with all others of its tokens. Pairs that pass are verified on their tokens, read again from
+    their first lines; the later of two that match goes.
     """
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).alias("id"), ascii_lower(text_or_empty(text_col)).alias("text"))
+    docs = df.select(F.col(id_col).alias("id"), F.lower(text_or_empty(text_col)).alias("text"))
     split = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    rarity = rarities(split)
+    rarity = rarities(docs.select(F.replace("text", F.lit("\n"), F.lit(" ")).alias("text")))
 
     def ordered(line: Column) -> Column:
         """Tokens as numbers whose order is that of rarity: 7 bits of it and 56 of the hash."""
-        return F.array_sort(F.array_distinct(F.transform(words(line), lambda w: F.transform(F.array(F.xxhash64(w)), lambda h: F.shiftleft(F.get(rarity, F.pmod(h, F.lit(BINS)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1)))[0])))
+        rare = lambda w: F.shiftleft(F.get(rarity, F.pmod(F.xxhash64(w), F.lit(BINS)).cast("int")).cast("long"), 56)
+        return F.sort_array(F.array_distinct(F.transform(words(line), lambda w: rare(w).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8)))))
 
     n = F.size("tokens")
     parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
-    lines = written(
-        split.select("id", "line", ordered(F.col("text")).alias("tokens"))
-        .filter(n > 0)
-        .select("id", "line", F.xxhash64("tokens").alias("class"), n.alias("n"), parity.alias("parity"), F.slice("tokens", F.lit(1), n - needs(n, percent) + 1).alias("prefix")),
-        "lines",
-    )
-    classes = written(
-        lines.groupBy("class").agg(F.min(F.struct(F.col("id").isNotNull().alias("has"), "id", "line")).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")), "classes"
-    )
-    rows = classes.select("class", F.col("first.id").alias("id"), F.col("first.line").alias("line"), "n", "parity", F.posexplode("prefix").alias("at", "token"))
+    prefix = F.transform(F.slice("tokens", F.lit(1), n - needs(n, percent) + 1), lambda t: F.hash(t))  # 32 bits: an accident makes a candidate, no match
+    tokens = split.select("id", "line", ordered(F.col("text")).alias("tokens")).filter(n > 0)
+    lines = written(tokens.select("id", "line", F.xxhash64("tokens").alias("class"), n.alias("n"), parity.alias("parity"), prefix.alias("prefix")), "lines")
+    place = F.struct(F.col("id").isNotNull().alias("has"), "id", "line")
+    classes = lines.groupBy("class").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
+    rows = classes.select("class", F.col("first.id").alias("id"), "n", "parity", F.posexplode("prefix").alias("at", "token"))
     group = W.partitionBy("token")
-    early = group.orderBy(F.col("id").asc_nulls_first(), "line")
-    me = F.struct("class", "id", "line", "n", "at", "parity")
-    groups = written(rows.select("token", me.alias("me"), F.first(me).over(early).alias("lead"), F.lead("class").over(early).isNotNull().alias("more")).filter((F.col("me.class") != F.col("lead.class")) | F.col("more")), "groups")
-
-    def earlier(a: str, b: str) -> Column:
-        def key(x: str) -> Column:
-            return F.struct(F.col(f"{x}.id").isNotNull().alias("h"), F.col(f"{x}.id").alias("i"), F.col(f"{x}.line").alias("l"))
-
-        return key(a) < key(b)
+    early = group.orderBy(F.col("id").asc_nulls_first(), "class")
+    me = F.struct("class", "n", "at", "parity")
+    groups = written(rows.select("token", me.alias("me"), F.first(me).over(early).alias("lead"), F.lead("class").over(early).isNotNull().alias("more")).filter((F.col("me.class") != F.col("lead.class")) | F.col("more")).select("token", "me", (F.col("me.class") == F.col("lead.class")).alias("leads"), F.when((F.col("me.class") != F.col("lead.class")) & fits("lead", "me", percent), F.col("lead.class")).alias("pivot")), "groups")
+    firsts = written(lines.groupBy("class").agg(F.min(place).alias("first")), "firsts")
 
     def matched(pairs: DataFrame) -> DataFrame:
-        """The classes `b` of pairs (a, b) of struct(class, id, line) whose tokens match."""
-        pairs = written(pairs.select(F.struct("a.class", "a.id", "a.line").alias("a"), F.struct("b.class", "b.id", "b.line").alias("b")).distinct(), "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("x")).select("x.*").distinct()
-        bins = wanted.select(F.pmod(F.xxhash64("id"), F.lit(BITS * 64)).alias("h")).groupBy(F.shiftright("h", 6).cast("int").alias("bin")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))).alias("bits"))
+        """The later classes of pairs (a, b) of classes whose tokens match."""
+        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        named = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        wanted = written(firsts.join(named, "class", "left_semi").select("class", F.col("first.id").alias("wanted_id"), F.col("first.line").alias("wanted_line"), "first"), "wanted")
+        bins = wanted.select(F.pmod(F.xxhash64("wanted_id"), F.lit(BITS * 64)).alias("h")).groupBy(F.shiftright("h", 6).cast("int").alias("bin")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))).alias("bits"))
         bits = table_of(bins, "bits", "L", BITS)
         h = F.pmod(F.xxhash64("id"), F.lit(BITS * 64))
         some = docs.filter(F.call_function("getbit", F.get(bits, F.shiftright(h, 6).cast("int")), h.bitwiseAND(63).cast("int")) == 1)  # those that may be wanted
-        found = some.join(wanted.withColumnRenamed("id", "wanted_id").hint("merge"), F.col("id").eqNullSafe(F.col("wanted_id"))).select("class", ordered(F.get(F.split("text", "\n"), F.col("line"))).alias("tokens"))
+        found = some.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("wanted_id"))).select("class", "first", ordered(F.get(F.split("text", "\n"), F.col("wanted_line"))).alias("tokens"))
         sets = written(found, "tokens").filter(F.xxhash64("tokens") == F.col("class"))  # of rows with a common id the one meant
-        both = pairs.join(sets.select(F.col("class").alias("ca"), F.col("tokens").alias("ta")), F.col("a.class") == F.col("ca")).join(sets.select(F.col("class").alias("cb"), F.col("tokens").alias("tb")), F.col("b.class") == F.col("cb"))
+        side = lambda x: sets.select(F.col("class").alias(x), F.col("tokens").alias(f"t{x}"), F.col("first").alias(f"f{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
         shared = F.size(F.array_intersect("ta", "tb"))
-        return both.filter(shared * (100 + percent) >= (F.size("ta") + F.size("tb")) * percent).select(F.col("b.class").alias("class")).distinct()
-
-    pivots = groups.filter((F.col("me.class") != F.col("lead.class")) & fits("lead", "me", percent)).select(F.col("lead").alias("a"), F.col("me").alias("b"))
-    decided = written(matched(pivots), "decided")
-    left = groups.join(decided.withColumnRenamed("class", "gone"), F.col("me.class") == F.col("gone"), "left_anti").filter("me.class <> lead.class").select("token", F.col("me").alias("b"))
-    rest = left.join(groups.select("token", F.col("me").alias("a")), "token").filter((F.col("a.class") != F.col("b.class")) & earlier("a", "b") & fits("a", "b", percent))
-    gone = decided.unionByName(matched(rest.select("a", "b"))).distinct().withColumn("similar", F.lit(True))
-    told = classes.select("class", "first").join(gone, "class", "left")
+        return both.filter(shared * (100 + percent) >= (F.size("ta") + F.size("tb")) * percent).select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("class")).distinct()
+
+    decided = written(matched(groups.filter("pivot IS NOT NULL").select(F.col("pivot").alias("a"), F.col("me.class").alias("b"))), "decided")
+    left = groups.filter("NOT leads").join(decided.withColumnRenamed("class", "gone"), F.col("me.class") == F.col("gone"), "left_anti").select("token", F.col("me").alias("b"))
+    rest = left.join(groups.filter("NOT leads").select("token", F.col("me").alias("a")), "token").filter((F.col("a.class") != F.col("b.class")) & fits("a", "b", percent))
+    gone = decided.unionByName(matched(rest.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")))).distinct().withColumn("similar", F.lit(True))
+    told = written(firsts.join(gone, "class", "left"), "told")
     out = lines.select("class", "id", "line").join(told, "class").withColumn("equal", ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line") == F.col("first.line"))))
     return out.filter("equal OR similar").select(F.col("id").alias(id_col), "line", "equal")
 

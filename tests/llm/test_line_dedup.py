@@ -14,7 +14,7 @@ def frame(spark, rows):
 
 
 def tokens(line):
-    return {w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in line).replace("\t", " ").replace("\r", " ").split(" ") if w}
+    return {w for w in line.lower().replace("\t", " ").replace("\r", " ").split(" ") if w}
 
 
 def brute(rows, percent=80):
