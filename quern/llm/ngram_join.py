@@ -117,21 +117,35 @@ def digest(h: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
+def parity(h: np.ndarray) -> bytes:
+    """Of each value of the hashes' low bits whether an odd number of them has it: a power of two of bits, about as many as there are n-grams."""
+    b = 64
+    while 4 * b < 3 * len(h):
+        b *= 2
+    return np.packbits((np.bincount((h & U64(b - 1)).astype(np.int64), minlength=b) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A parity as it is with fewer low bits, 64 for each word."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
+
+
 def sets(df: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """Of each document the size of its set, and a 128-bit digest of it as two numbers."""
+    """Of each document the size of its set, a 128-bit digest of it as two numbers, and its `parity`."""
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
-        out: dict[str, list] = {"id": batch.column(0), "n_shingles": [], "a": [], "b": []}
+        out: dict[str, list] = {"id": batch.column(0), "n_shingles": [], "a": [], "b": [], "bits": []}
         for text in batch.column(1).to_pylist():
             h = grams(text, n)
             a, b = digest(h)
             out["n_shingles"].append(len(h))
             out["a"].append(a)
             out["b"].append(b)
+            out["bits"].append(parity(h))
         return out
 
     kind = df.schema[id_col].dataType.simpleString()
-    return by_batch(df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")), f"id {kind}, n_shingles long, a long, b long", run)
+    return by_batch(df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")), f"id {kind}, n_shingles long, a long, b long, bits binary", run)
 
 
 def candidate_edges(df: DataFrame, n: int, percent: int, text_col: str) -> DataFrame:
@@ -333,6 +347,64 @@ def blocks(members: DataFrame, percent: int) -> DataFrame:
     return told.withColumn("at", F.explode(F.when(small, whole).otherwise(F.concat(pairs(0), pairs(1), pairs(-1))))).select("id", "component", F.col("at.block").alias("block"), F.col("at.side").alias("side"))
 
 
+def refined(members: DataFrame, percent: int) -> DataFrame:
+    """members (id, component, n_shingles, bits) with large components of candidates taken apart, as far as that loses no link.
+
+    Documents that share common passages can make a large component by accident. Its cells meet here with
+    their parities alone: two sets that differ in d n-grams have parities that differ in d bits at most. What
+    the pairs that pass connect is a component of its own; a document that passes with none has no link.
+    """
+    sums = written(members.groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("total")), "large")
+    large = (F.col("docs") > DOCS) | (F.col("total") > GRAMS)
+    told = members.join(sums, "component")
+    whole = told.filter(~large).select(*members.columns)
+    some = written(told.filter(large).select(*members.columns), "some")
+    if some.isEmpty():
+        return whole
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, block), rows in runs(batches, 2):
+            _, _, side, ids, size, bits = zip(*rows, strict=True)
+            own = [np.frombuffer(b, U64) for b in bits]
+            n, side = np.array(size), np.array(side)
+            widths = sorted({len(b) for b in own})
+            at = {w: np.array([i for i, b in enumerate(own) if len(b) == w]) for w in widths}
+            stacked = {w: np.stack([own[i] for i in at[w]]) for w in widths}
+            label = np.arange(len(ids))
+            u, v = [], []
+            for i, b in enumerate(own):
+                for w in widths:
+                    if w > len(b):
+                        break
+                    j = at[w]  # of two widths the wider one is folded and looks for the narrower
+                    pick = (n[j] * 100 >= n[i] * percent) & (n[i] * 100 >= n[j] * percent) & (label[j] != label[i])
+                    if w == len(b):
+                        pick &= j < i
+                    if side.max() >= 0:
+                        pick &= side[j] != side[i]
+                    if not pick.any():
+                        continue
+                    j = j[pick]
+                    apart = np.bitwise_count(stacked[w][pick] ^ folded(b, w)).sum(axis=1)
+                    j = j[apart <= (n[i] + n[j]) * (100 - percent) // (100 + percent)]
+                    for k in j:
+                        if label[k] != label[i]:
+                            u.append(ids[i])
+                            v.append(ids[k])
+                            label[label == label[k]] = label[i]
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, kind), pa.array(v, kind)], names=["u", "v"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind, name = to_arrow_type(members.schema["id"].dataType), members.schema["id"].dataType.simpleString()
+    dealt = blocks(some, percent).join(some.select("id", "n_shingles", "bits").hint("merge"), "id").select("component", "block", "side", "id", "n_shingles", "bits")
+    sorted_rows = dealt.repartition(partitions(members.sparkSession), "component", "block").sortWithinPartitions("component", "block")
+    found = components(sorted_rows.mapInArrow(run, f"u {name}, v {name}"))
+    apart = some.join(found.select(F.col("node").alias("id"), F.col("component").alias("_to")), "id").withColumn("component", F.xxhash64("component", "_to"))
+    return whole.unionByName(apart.select(*members.columns))
+
+
 def verify(rows: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (u, v) of rows (id, component, block, side, text), which come sorted by component and block."""
 
@@ -376,8 +448,9 @@ def jaccard_components(df: DataFrame, n: int = 4, percent: int = 85, id_col: str
     known = written(sets(df, n, id_col, text_col), "sets")
     full = known.filter("n_shingles > 0")
     near = components(candidate_edges(docs, n, percent, "text"))
-    equal = full.groupBy("a", "b").agg(F.min("id").alias("first"), F.first("n_shingles").alias("n_shingles"))
-    members = written(equal.join(near.withColumnRenamed("node", "a"), "a").filter("first IS NOT NULL").select(F.col("first").alias("id"), "component", "n_shingles"), "members")
+    equal = full.groupBy("a", "b").agg(F.min("id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
+    members = written(equal.join(near.withColumnRenamed("node", "a"), "a").filter("first IS NOT NULL").select(F.col("first").alias("id"), "component", "n_shingles", "bits"), "members")
+    members = written(refined(members, percent), "refined")
     # Sort-merge at every size: a broadcast would be chosen for small inputs only, and members grow with the input.
     texts = docs.join(blocks(members, percent).hint("merge"), "id")
     linked = components(verify(texts, n, percent))
