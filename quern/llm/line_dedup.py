@@ -78,7 +78,8 @@ def removed_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     n = F.size("tokens")
     parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
     prefix = F.transform(F.slice("tokens", F.lit(1), n - needs(n, percent) + 1), lambda t: F.hash(t))  # 32 bits: an accident makes a candidate, no match
-    tokens = split.select("id", "line", ordered(F.col("text")).alias("tokens")).filter(n > 0)
+    # A filter on the tokens would be pushed below and compute them twice.
+    tokens = split.filter(F.col("text").rlike(r"[^ \t\r]")).select("id", "line", ordered(F.col("text")).alias("tokens"))
     lines = written(tokens.select("id", "line", F.xxhash64("tokens").alias("class"), n.alias("n"), parity.alias("parity"), prefix.alias("prefix")), "lines")
     place = F.struct(F.col("id").isNotNull().alias("has"), "id", "line")
     classes = lines.groupBy("class").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
