@@ -17,10 +17,11 @@ from quern.llm.packed import packed_keys, packed_owners, ranges, runs, unpacked_
 
 #: Documents and n-grams of a block that one task compares.
 DOCS, GRAMS = 1_500, 1_500_000
-#: Bytes of text for each range of keys.
-PART = 64 << 20
+#: Documents whose keys a task holds at once, and bytes of text for each range of keys.
+AT_ONCE = 2_500
+PART = 32 << 20
 #: Words whose hash a worker remembers.
-KEPT = 400_000
+KEPT = 100_000
 U64 = np.uint64
 FACTORS = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 S29, S32, S33 = U64(29), U64(32), U64(33)
@@ -151,15 +152,15 @@ def sets(df: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
 def candidate_edges(df: DataFrame, n: int, percent: int, text_col: str) -> DataFrame:
     """Edges (u, v) between the digests of sets that share a key, a star for each key.
 
-    Keys are dealt by ranges of their hash. Equal sets of a batch count once, and of sets of a batch with
+    Keys are dealt by ranges of their hash. Equal sets of some AT_ONCE texts count once, and of these sets with
     the same key only the first goes on with it, so a key of many documents reaches its task once for
-    each batch, and the others are linked to that first at once. Keys go as packed arrays, not as rows.
+    each such lot, and the others are linked to that first at once. Keys go as packed arrays, not as rows.
     """
     size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    parts = max(partitions(df.sparkSession), -(-size // PART))
+    parts = max(2 * partitions(df.sparkSession), -(-size // PART))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE)):
             found, owners, seen = [], [], set()
             for text in batch.column(0).to_pylist():
                 h = grams(text, n)

@@ -19,7 +19,7 @@ SAMPLE = 20_000
 #: A feature enters the model if it tells toxic rows from others with this log-likelihood ratio, and in at least so many rows.
 EVIDENCE, LEAST = 15.0, 3
 #: Features of a model at most (the strongest evidence first), and words whose weight a worker remembers.
-FEATURES, KEPT = 4096, 500_000
+FEATURES, KEPT = 4096, 100_000
 #: Lengths in bytes of the prefixes of a word that are features beside the word, for stems.
 PREFIXES = (4, 5, 6, 7)
 GRADES = 3
