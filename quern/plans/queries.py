@@ -353,6 +353,12 @@ def fold_buckets(spark, d):
     return folded(spark, d).select("entity_id", "src", "true_s1", "bucket")
 
 
+@query(f"WITH {REC} SELECT entity_id, src FROM rec, crc WHERE src <> 1 AND {crc("('train:' || entity_id)")} % 100000 < 25000")
+def record_sample(spark, d):
+    r, _ = tables.records(spark, d)
+    return r.filter(F.col("src") != 1).filter(hashing.in_sample(F.col("entity_id"), 0.25, "train:")).select("entity_id", "src")
+
+
 @query(f"WITH {REC}, c AS (SELECT count(*) FILTER (src = 1) AS n1, count(*) FILTER (src <> 1) AS nr FROM rec), m AS (SELECT count(*) AS nm FROM own) SELECT round(greatest(0, (12.0 - (nr - nm) / n1) / (nm / n1 + 12.0)), 6) AS fraction FROM c, m")
 def density_fraction(spark, d):
     r, owners = tables.records(spark, d)
