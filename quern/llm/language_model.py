@@ -18,7 +18,7 @@ from quern.llm.packed import packed_counts, packed_keys, ranges, runs, unpacked_
 #: Discount of a word's count, and the weight of the unigrams in a context.
 DISCOUNT, PRIOR = 0.75, 100.0
 #: Bytes of text that a part holds at most on average.
-PART = 64 << 20
+PART = 32 << 20
 #: The token after a text's words, which is also the context of its first word. Words never hold a space.
 END = U64(xxhash.xxh3_64_intdigest(b" "))
 WORDS, PAIRS = 0, 1
@@ -114,7 +114,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     """
     spark = df.sparkSession
     size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n = max(partitions(spark), -(-size // PART))
+    n = max(2 * partitions(spark), -(-size // PART))
     docs = df.select(F.pmod(F.xxhash64(id_col, F.octet_length(text_col)), F.lit(n)).cast("int").alias("part"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
