@@ -27,7 +27,7 @@ def test_planted_words(spark):
     assert not any(got[i].toxic for i in range(200)) and all(got[i].toxic for i in range(200, 280))
     assert not got[280].toxic and not got[281].toxic and got[282].toxic
     assert all(abs(r.severity) <= 2 and r.grade in (0, 1, 2) for r in got.values())
-    assert [got[i].toxic for i in (0, 200)] == [got[i].severity >= 0.5 for i in (0, 200)]
+    assert [got[i].toxic for i in (0, 200)] == [got[i].severity >= toxicity.THRESHOLD for i in (0, 200)]
     kept = toxicity.drop_toxic(docs, model)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(200)) | {280, 281}
 
