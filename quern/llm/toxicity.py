@@ -112,17 +112,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(few), "_id")  # at most `sample` rows
 
     def features(batch: pa.RecordBatch) -> dict[str, list]:
-        return {"toxic": batch.column(0), "features": [sorted(x for w in words(t) for x in parts(w)) for t in batch.column(1).to_pylist()]}
+        return {"toxic": batch.column(0), "features": [np.array([x for w in words(t) for x in parts(w)], np.int64) for t in batch.column(1).to_pylist()]}
 
     seen = written(by_batch(texts.select("toxic", "text"), "toxic int, features array<long>", features), "labelled")
     chosen = evident(seen)
+    known = np.array(sorted(chosen), np.int64)
 
     def only(batch: pa.RecordBatch) -> dict[str, list]:
-        return {"toxic": batch.column(0), "features": [[x for x in own if x in chosen] for own in batch.column(1).to_pylist()]}
+        lists = batch.column(1)
+        own = np.isin(lists.flatten().to_numpy(), known)
+        ends = np.concatenate([[0], np.cumsum(own)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return {"toxic": batch.column(0), "features": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lists.flatten().filter(pa.array(own)))}
 
     got = by_batch(seen, "toxic int, features array<long>", only).toArrow()
     toxic, found = got["toxic"].to_numpy() != 0, got["features"].to_pylist()
-    strength = np.array([sum(chosen[x] for x in own) for own in found], np.int64)
+    strength = np.array([sum(chosen[x] for x in own) for own in found], np.int64)  # of the chosen features alone
     some = strength[toxic & (strength > 0)]
     grades = np.where(toxic, np.where(strength > (np.median(some) if len(some) else 0), 2, 1), 0)
     return fit(grades, np.repeat(np.arange(len(grades)), [len(x) for x in found]), np.array([x for own in found for x in own], np.int64))
