@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import text_or_empty, written
 
+#: Characters up to which a word's rarity is counted; longer words are the rarer the longer they are.
+SHORT = 6
 #: Entries of the table of word frequencies and of the table of documents to read again. Both are bounded, whatever the corpus.
 BINS, BITS = 1 << 16, 1 << 16
 
@@ -25,9 +27,9 @@ def words(line: Column) -> Column:
 
 
 def rarities(lines: DataFrame) -> Column:
-    """Of each bin of words twice the binary logarithm of their number of occurrences, up to 127."""
-    each = lines.select(F.explode(words(F.col("text"))).alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(BINS)).cast("int").alias("bin"))
-    counts = each.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).select("bin", F.least(F.lit(127), F.floor(2 * F.log2(F.col("n") + 1))).cast("int").alias("r"))
+    """Of each bin of short words twice the binary logarithm of their number of occurrences, up to 63."""
+    each = lines.select(F.explode(words(F.col("text"))).alias("w")).filter(F.length("w") <= SHORT).select(F.pmod(F.xxhash64("w"), F.lit(BINS)).cast("int").alias("bin"))
+    counts = each.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).select("bin", F.least(F.lit(63), F.floor(2 * F.log2(F.col("n") + 1))).cast("int").alias("r"))
     return table_of(counts, "r", "Y", BINS)
 
 
@@ -41,11 +43,12 @@ def fits(a: str, b: str, percent: int) -> Column:
 
     The most tokens that differ bound the bits in which the parities of the sets differ.
     """
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    n, m = (F.shiftright(f"{x}.size_at", 32) for x in (a, b))
+    at_a, at_b = (F.col(f"{x}.size_at").bitwiseAND((1 << 32) - 1) for x in (a, b))
     overlap = F.ceil((n + m) * F.lit(percent) / F.lit(100 + percent))
     return (
         (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
-        & (F.least(n - F.col(f"{a}.at"), m - F.col(f"{b}.at")) >= overlap)
+        & (F.least(n - at_a, m - at_b) >= overlap)
         & (F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity"))) <= n + m - 2 * overlap)
     )
 
@@ -59,7 +62,7 @@ def removed_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     nor is removed; rows with a null id come first. Ids should be unique.
 
     The join is exact: lines of equal tokens are one class, known by its first line. Tokens are ordered by
-    rarity (and hash), and classes that match share a token of their prefixes. Rows of a token carry what
+    rarity (`rarities`, the length of long words, and hash), and classes that match share a token of their prefixes. Rows of a token carry what
     the filters need. First each class is compared with the earliest of each of its tokens, which decides
     most of a large group of variants without its pairs. Only the rest, that no earliest one matches,
     is joined with all others of its tokens. Pairs that pass are verified on their tokens, read again from
@@ -71,8 +74,9 @@ def removed_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     rarity = rarities(docs.select(F.replace("text", F.lit("\n"), F.lit(" ")).alias("text")))
 
     def ordered(line: Column) -> Column:
-        """Tokens as numbers whose order is that of rarity: 7 bits of it and 56 of the hash."""
-        rare = lambda w: F.shiftleft(F.get(rarity, F.pmod(F.xxhash64(w), F.lit(BINS)).cast("int")).cast("long"), 56)
+        """Tokens as numbers whose order is that of rarity: 7 bits of it and 56 of the hash. Long words come before short ones."""
+        rank = lambda w: F.when(F.length(w) > SHORT, 63 - F.least(F.lit(63), F.length(w))).otherwise(64 + F.get(rarity, F.pmod(F.xxhash64(w), F.lit(BINS)).cast("int")).cast("int"))
+        rare = lambda w: F.shiftleft(rank(w).cast("long"), 56)
         return F.sort_array(F.array_distinct(F.transform(words(line), lambda w: rare(w).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8)))))
 
     n = F.size("tokens")
@@ -84,9 +88,10 @@ def removed_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     place = F.struct(F.col("id").isNotNull().alias("has"), "id", "line")
     classes = lines.groupBy("class").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
     rows = classes.select("class", F.col("first.id").alias("id"), "n", "parity", F.posexplode("prefix").alias("at", "token"))
+    rows = rows.select("class", "id", "parity", "token", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("size_at"))
     group = W.partitionBy("token")
     early = group.orderBy(F.col("id").asc_nulls_first(), "class")
-    me = F.struct("class", "n", "at", "parity")
+    me = F.struct("class", "size_at", "parity")
     groups = written(rows.select("token", me.alias("me"), F.first(me).over(early).alias("lead"), F.lead("class").over(early).isNotNull().alias("more")).filter((F.col("me.class") != F.col("lead.class")) | F.col("more")).select("token", "me", (F.col("me.class") == F.col("lead.class")).alias("leads"), F.when((F.col("me.class") != F.col("lead.class")) & fits("lead", "me", percent), F.col("lead.class")).alias("pivot")), "groups")
     firsts = written(lines.groupBy("class").agg(F.min(place).alias("first")), "firsts")
 
