@@ -20,7 +20,7 @@ PARAGRAPH = 128
 #: Cells of a table of the fingerprint, rounds of its peeling, and how much larger each retry is.
 CELLS, ROUNDS, GROWTH = 8, 8, 32
 #: Rounds, each of all three tables, of a retry; after so many retries all differences have been recovered or the hash is at fault.
-RETRY_ROUNDS, RETRIES = 5, 8
+RETRY_ROUNDS, RETRIES = 5, 5
 #: Ranges of ids between which the split into buckets is even.
 RANGES = 64
 
