@@ -101,9 +101,14 @@ jaro_winkler = _iterated(jaro_winkler_of)
 token_sort_ratio = _iterated(lambda a, b: ratio_of(" ".join(sorted(a.split())), " ".join(sorted(b.split()))))
 
 
-def on_distinct(pairs: DataFrame, a: str, b: str, **columns: Callable[[Column, Column], Column]) -> DataFrame:
-    """Adds similarities of string columns a and b, computed once for each distinct pair of strings."""
-    found = pairs.select(a, b).distinct().select(F.col(a).alias("_a"), F.col(b).alias("_b"), *(f(F.col(a), F.col(b)).alias(n) for n, f in columns.items()))
+def on_distinct(pairs: DataFrame, a: str, b: str, source: DataFrame | None = None, **columns: Callable[[Column, Column], Column]) -> DataFrame:
+    """Adds similarities of string columns a and b, computed once for each distinct pair of strings.
+
+    source: where the strings come from, if not from pairs itself. Steps that follow each other should
+    all name the table that they began with, else each doubles the plan of those before.
+    """
+    strings = pairs if source is None else source
+    found = strings.select(a, b).distinct().select(F.col(a).alias("_a"), F.col(b).alias("_b"), *(f(F.col(a), F.col(b)).alias(n) for n, f in columns.items()))
     return pairs.join(found, F.col(a).eqNullSafe(F.col("_a")) & F.col(b).eqNullSafe(F.col("_b"))).drop("_a", "_b")
 
 

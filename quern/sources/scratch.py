@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
@@ -14,3 +15,10 @@ def scratch(spark: SparkSession) -> str:
         found = f"file://{tempfile.mkdtemp(prefix='quern-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+def parquet(df: DataFrame, what: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, for what is read several times or ends a lineage."""
+    path = f"{scratch(df.sparkSession)}/quern/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -51,3 +51,8 @@ def test_names():
     import __spark_entry__ as entry
 
     assert set(ORACLES) <= set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_pair_features(spark):
+    got = QUERIES["pair_features"](spark, DATA)
+    assert len(got.columns) == 2 + 59 and got.count() == got.select("s1_id", "r_id").distinct().count() > 0
