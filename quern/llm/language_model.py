@@ -114,7 +114,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     """
     spark = df.sparkSession
     size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n = max(2 * partitions(spark), -(-size // PART))
+    spread = max(partitions(spark), -(-size // (2 * PART)))  # ranges of keys
+    n = 2 * spread
     docs = df.select(F.pmod(F.xxhash64(id_col, F.octet_length(text_col)), F.lit(n)).cast("int").alias("part"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +124,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             part = Part(ids, texts)
             for kind in (WORDS, PAIRS):
                 keys, counts = part.keys[kind], part.counts(kind)
-                some, cut = ranges(keys, n)
+                some, cut = ranges(keys, spread)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(some, pa.int32()), pa.array([kind] * len(some), pa.int32()), pa.array([number] * len(some), pa.int32()), pa.array([packed_keys(keys[c]) for c in cut], pa.binary()), pa.array([packed_counts(counts[c]) for c in cut], pa.binary())],
                     names=["range", "kind", "part", "keys", "counts"],
@@ -152,7 +153,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             )
 
     asked = docs.repartition(n, "part").sortWithinPartitions("part", "id", F.xxhash64("text")).mapInArrow(ask, "range int, kind int, part int, keys binary, counts binary")
-    answered = asked.repartition(n, "range").sortWithinPartitions("range", "kind").mapInArrow(answer, "part int, kind int, range int, n long, answer binary, distinct long, total long")
+    answered = asked.repartition(spread, "range").sortWithinPartitions("range", "kind").mapInArrow(answer, "part int, kind int, range int, n long, answer binary, distinct long, total long")
     answers = written(answered, "answers")
     row = answers.filter("part = -1").agg(F.sum("distinct").alias("distinct"), F.sum("total").alias("total")).first()
     distinct, total = row.distinct or 0, row.total or 0
