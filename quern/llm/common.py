@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.scratch import parquet
+
 #: Bytes that `bytes.split` takes for white space: exactly [\x20\x09-\x0D].
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,21 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or where it is unset (tests) one of this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quern-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, so that its lineage ends there and a lost executor costs no rerun of what is before it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the folder that all machines share, so that its lineage ends there and a lost executor costs no rerun of what is before it."""
+    return parquet(df, what)
 
 
 def partitions(spark: SparkSession) -> int:
