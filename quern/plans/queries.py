@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.config import LinkConfig
-from quern.functions import hashing, similarity, text
-from quern.operators import blocking, context, decision, dictionaries, features, folds, reports, scoring, tfidf
+from quern.functions import hashing
+from quern.operators import blocking, context, decision, folds, reports, scoring
 from quern.plans import linkage, tables
 from quern.sources import records
 
