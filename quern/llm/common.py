@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from quern.sources.scratch import parquet
 
-#: Bytes that `bytes.split` takes for white space: exactly [\x20\x09-\x0D].
-WORD = r"[^\x20\x09-\x0D]+"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
