@@ -17,7 +17,7 @@ BINS, BITS = 1 << 16, 1 << 16
 def table_of(counts: DataFrame, of: str, kind: str, size: int) -> Column:
     """A literal array of `size` entries from rows (bin, `of`), at most one for each bin."""
     got = {r["bin"]: r[of] for r in counts.select("bin", of).collect()}
-    return F.expr(f"array({','.join(f'{got.get(i, 0)}{kind}' for i in range(size))})")
+    return F.split(F.lit(",".join(str(got.get(i, 0)) for i in range(size))), ",").cast(f"array<{kind}>")  # folded into one literal
 
 
 def words(line: Column) -> Column:
@@ -30,7 +30,7 @@ def rarities(lines: DataFrame) -> Column:
     """Of each bin of short words twice the binary logarithm of their number of occurrences, up to 63."""
     each = lines.select(F.explode(words(F.col("text"))).alias("w")).filter(F.length("w") <= SHORT).select(F.pmod(F.xxhash64("w"), F.lit(BINS)).cast("int").alias("bin"))
     counts = each.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).select("bin", F.least(F.lit(63), F.floor(2 * F.log2(F.col("n") + 1))).cast("int").alias("r"))
-    return table_of(counts, "r", "Y", BINS)
+    return table_of(counts, "r", "tinyint", BINS)
 
 
 def needs(n: Column, percent: int) -> Column:
@@ -101,7 +101,7 @@ def removed_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text
         named = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
         wanted = written(firsts.join(named, "class", "left_semi").select("class", F.col("first.id").alias("wanted_id"), F.col("first.line").alias("wanted_line"), "first"), "wanted")
         bins = wanted.select(F.pmod(F.xxhash64("wanted_id"), F.lit(BITS * 64)).alias("h")).groupBy(F.shiftright("h", 6).cast("int").alias("bin")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))).alias("bits"))
-        bits = table_of(bins, "bits", "L", BITS)
+        bits = table_of(bins, "bits", "bigint", BITS)
         h = F.pmod(F.xxhash64("id"), F.lit(BITS * 64))
         some = docs.filter(F.call_function("getbit", F.get(bits, F.shiftright(h, 6).cast("int")), h.bitwiseAND(63).cast("int")) == 1)  # those that may be wanted
         found = some.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("wanted_id"))).select("class", "first", ordered(F.get(F.split("text", "\n"), F.col("wanted_line"))).alias("tokens"))
