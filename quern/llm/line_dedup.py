@@ -90,9 +90,14 @@ def removed_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     rows = classes.select("class", F.col("first.id").alias("id"), "n", "parity", F.posexplode("prefix").alias("at", "token"))
     rows = rows.select("class", "id", "parity", "token", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("size_at"))
     group = W.partitionBy("token")
-    early = group.orderBy(F.col("id").asc_nulls_first(), "class")
-    me = F.struct("class", "size_at", "parity")
-    groups = written(rows.select("token", me.alias("me"), F.first(me).over(early).alias("lead"), F.lead("class").over(early).isNotNull().alias("more")).filter((F.col("me.class") != F.col("lead.class")) | F.col("more")).select("token", "me", (F.col("me.class") == F.col("lead.class")).alias("leads"), F.when((F.col("me.class") != F.col("lead.class")) & fits("lead", "me", percent), F.col("lead.class")).alias("pivot")), "groups")
+    by_size = group.orderBy("size_at", "class")
+    size = F.shiftright("size_at", 32)
+    before, after = F.lag(size).over(by_size), F.lead(size).over(by_size)
+    me, first = F.struct("class", "size_at", "parity"), F.min(F.struct(F.col("id").isNotNull().alias("has"), "id", "class", "size_at", "parity")).over(group)
+    # A row that is alone with its token among those of sizes that can match has no partner by it.
+    some = rows.select("token", me.alias("me"), first.alias("lead"), size.alias("n"), before.alias("before"), after.alias("after")).filter((F.col("before") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("after") * percent))
+    leads = F.col("me.class") == F.col("lead.class")
+    groups = written(some.select("token", "me", leads.alias("leads"), F.when(~leads & fits("lead", "me", percent), F.col("lead.class")).alias("pivot")), "groups")
     firsts = written(lines.groupBy("class").agg(F.min(place).alias("first")), "firsts")
 
     def matched(pairs: DataFrame) -> DataFrame:
