@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import text_or_empty, written
+from quern.llm.common import partitions, text_or_empty, written
 
 #: Characters up to which a word's rarity is counted; longer words are the rarer the longer they are.
 SHORT = 6
@@ -89,6 +89,7 @@ def removed_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     classes = lines.groupBy("class").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
     rows = classes.select("class", F.col("first.id").alias("id"), "n", "parity", F.posexplode("prefix").alias("at", "token"))
     rows = rows.select("class", "id", "parity", "token", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("size_at"))
+    rows = rows.repartition(partitions(spark), "token")  # before the windows make wider rows of them
     group = W.partitionBy("token")
     by_size = group.orderBy("size_at", "class")
     size = F.shiftright("size_at", 32)
