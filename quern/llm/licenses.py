@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right, insort
 from functools import cache
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +37,7 @@ TEMPLATES = (
 #: Every template has one of these stems; a text without any can't hold its wording within the differences allowed.
 ANCHOR = r"(?i)licen[cs]|permi(?:ssion|tted)|copyright|warrant|redistribut"
 WORD = re.compile(r"[a-z0-9]+(?:[.'\-][a-z0-9]+)*")
-#: Words before and after an anchor that belong to its block, and templates of a block that are looked at word by word.
+#: Words before and after an anchor that belong to its block, and templates of a window that are looked at word by word.
 REACH, RANKED = 60, 6
 
 
@@ -44,39 +46,63 @@ def wording(text: str) -> list[tuple[str, int]]:
 
 
 @cache
-def templates() -> list[tuple[str, list[str], object]]:
+def compressor(dictionary: bytes = b""):
+    """Explicit parameters, or zstandard takes other ones with a dictionary than without, and savings would be of two measures."""
     import zstandard
 
+    level = zstandard.ZstdCompressionParameters.from_level(3, source_size=1 << 14, write_content_size=False)
+    if not dictionary:
+        return zstandard.ZstdCompressor(compression_params=level)
+    return zstandard.ZstdCompressor(compression_params=level, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+
+
+@cache
+def templates() -> list[tuple[str, list[str], object]]:
     out = []
     for name, text in TEMPLATES:
         words = [w for w, _ in wording(text)]
-        data = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        out.append((name, words, zstandard.ZstdCompressor(level=3, dict_data=data, write_content_size=False)))
+        out.append((name, words, compressor(" ".join(words).encode())))
     return out
 
 
-@cache
-def plain():
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=3, write_content_size=False)
-
-
 @cache
 def anchor() -> re.Pattern:
     return re.compile(ANCHOR)
 
 
-def blocks(words: list[tuple[str, int]]) -> list[tuple[int, int]]:
+def blocks(words: list[tuple[str, int]], reach: int = REACH) -> list[tuple[int, int]]:
     """Ranges of words around anchors; those that touch are one."""
     out: list[tuple[int, int]] = []
     for i, (w, _) in enumerate(words):
         if anchor().search(w):
-            a, b = max(0, i - REACH), min(len(words), i + REACH + 1)
-            out = [*out[:-1], (out[-1][0], b)] if out and a <= out[-1][1] else [*out, (a, b)]
+            a, b = max(0, i - reach), min(len(words), i + reach + 1)
+            if out and a <= out[-1][1]:
+                a = out.pop()[0]
+            out.append((a, b))
     return out
 
 
+def windows(a: int, b: int, size: int, overlap: int) -> list[tuple[int, int]]:
+    """Ranges of at most `size` words that cover a block; what is at most `overlap` long is whole in one of them."""
+    out = [(a, min(b, a + size))]
+    while out[-1][1] < b:
+        a += size - overlap
+        out.append((a, min(b, a + size)))
+    return out
+
+
+def free(a: int, b: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of a range beside the taken ones, which are sorted and apart."""
+    out = []
+    for k in range(max(0, bisect_right(taken, (a, a)) - 1), len(taken)):
+        if taken[k][0] >= b:
+            break
+        if a < taken[k][0]:
+            out.append((a, taken[k][0]))
+        a = max(a, taken[k][1])
+    return [*out, (a, b)] if a < b else out
+
+
 def differences(template: list[str], block: list[str]) -> tuple[int, int, int]:
     """(differences, from, to): the fewest words to insert, drop or change to make the template of a range of the block; of equal ones the first."""
     row = [(0, j) for j in range(len(block) + 1)]
@@ -89,37 +115,56 @@ def differences(template: list[str], block: list[str]) -> tuple[int, int, int]:
     return row[best][0], row[best][1], best
 
 
+def best_in(words: list[tuple[str, int]], a: int, b: int, most: float) -> tuple | None:
+    """(rank, row of found_in, from, to) of a range's confirmed wording with the fewest differences for its length, of equal ones the longest, then the first."""
+    own = [w for w, _ in words[a:b]]
+    data = " ".join(own).encode()
+    bare = len(compressor().compress(data))
+    ranked = sorted(((bare - len(c.compress(data))) / len(t) ** 0.5, k) for k, (_, t, c) in enumerate(templates()))[::-1]
+    least = ranked[min(RANKED, len(ranked)) - 1][0]
+    best = None
+    for saved, k in ranked:
+        if saved < least:
+            break
+        name, template, _ = templates()[k]
+        n, i, j = differences(template, own)
+        if n <= most * len(template) and j > i:
+            rank = (n / len(template), -len(template), a + j, a + i, k)
+            if best is None or rank < best[0]:
+                best = rank, (name, words[a + i][1], j - i, n, round(saved * len(template) ** 0.5)), a + i, a + j
+    return best
+
+
 def found_in(text: str, most: float) -> list[tuple[str, int, int, int, int]]:
     """(license, place, words, differences, reduction) of a text's notices, by place.
 
-    Of each block all templates are ranked by how many bytes they save as its raw dictionary, for their
-    own length. The best RANKED, and all that save as much as the last of them, are compared word by
-    word; those with at most `most` differences a word are confirmed. Of confirmed ranges that overlap the one with the
-    fewest differences for its length stays, then the longest. What is left beside it is looked at again.
+    Blocks are looked at in windows that overlap by the longest wording that can be confirmed. Of each window all
+    templates are ranked by how many bytes they save as its raw dictionary, for their own length. The best RANKED, and
+    all that save as much as the last of them, are compared word by word; those with at most `most` differences a word
+    are confirmed. Of confirmed ranges of a text that overlap the one with the fewest differences for its length stays,
+    then the longest. What is left beside it is looked at again.
     """
     words = wording(text)
+    longest = max(len(t) + int(most * len(t)) for _, t, _ in templates())
+    reach = max(REACH, longest)
+    heap: list[tuple] = []
+    taken: list[tuple[int, int]] = []
     out = []
-    queue = blocks(words)
-    while queue:
-        a, b = queue.pop()
-        own = [w for w, _ in words[a:b]]
-        data = " ".join(own).encode()
-        bare = len(plain().compress(data))
-        ranked = sorted(((bare - len(c.compress(data))) / len(t) ** 0.5, k) for k, (_, t, c) in enumerate(templates()))[::-1]
-        least = ranked[min(RANKED, len(ranked)) - 1][0]
-        best = None
-        for saved, k in ranked:
-            if saved < least or saved <= 0:
-                break
-            name, template, _ = templates()[k]
-            n, i, j = differences(template, own)
-            if n <= most * len(template) and j > i:
-                rank = (n / len(template), -len(template), i)
-                if best is None or rank < best[0]:
-                    best = rank, (name, words[a + i][1], j - i, n, round(saved * len(template) ** 0.5)), a + i, a + j
-        if best:
-            out.append(best[1])
-            queue += [r for r in ((a, best[2]), (best[3], b)) if any(anchor().search(w) for w, _ in words[slice(*r)])]
+
+    def look(a: int, b: int) -> None:
+        if best := best_in(words, a, b, most):
+            heappush(heap, (*best, a, b))
+
+    for block in blocks(words, reach):
+        for window in windows(*block, 2 * reach + 1, longest):
+            look(*window)
+    while heap:  # what is left of a range has no better wording than the whole, so the first of the heap is the best of all
+        _, row, i, j, a, b = heappop(heap)
+        if any(s <= i and j <= e for s, e in free(a, b, taken)):
+            insort(taken, (i, j))
+            out.append(row)
+        for part in free(a, b, taken):
+            look(*part)
     return sorted(out, key=lambda r: r[1])
 
 

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 pytest.importorskip("quern.llm")
@@ -50,3 +52,19 @@ def test_every_template_is_found():
         assert licenses.anchor().search(text)
         (found,) = licenses.found_in(f"some words before it . {text} and some after", 0.1)
         assert found[0] == name and found[3] == 0
+
+
+def test_large_blocks_lose_nothing():
+    text = ""
+    for i in range(100):  # an anchor within reach of the next throughout, so that all is one block
+        text += "Released under the MIT License. " + " ".join(f"{w}{(i * 7 + j) % 89}" for j, w in enumerate("the of rend and threlyes nd ouwhea of".split() * 10)) + "\n"
+        found = licenses.found_in(text, 0.1) if i in (2, 19, 59, 99) else None
+        assert found is None or ([r[0] for r in found] == ["MIT"] * (i + 1) and all(r[3] == 0 and r[4] > 0 for r in found))
+        assert found is None or [r[1] for r in found] == [m.start() for m in re.finditer("Released", text)]
+
+
+def test_windows_hold_each_range():
+    for n in range(1, 60):
+        made = licenses.windows(5, 5 + n, 9, 4)
+        assert made[0][0] == 5 and made[-1][1] == 5 + n and all(b - a <= 9 for a, b in made)
+        assert all(any(a <= i and i + k <= b for a, b in made) for k in range(1, 5) for i in range(5, 6 + n - k))
