@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right, insort
+from collections import Counter
 from functools import cache
 from heapq import heappop, heappush
 
@@ -37,8 +38,8 @@ TEMPLATES = (
 #: Every template has one of these stems; a text without any can't hold its wording within the differences allowed.
 ANCHOR = r"(?i)licen[cs]|permi(?:ssion|tted)|copyright|warrant|redistribut"
 WORD = re.compile(r"[a-z0-9]+(?:[.'\-][a-z0-9]+)*")
-#: Words before and after an anchor that belong to its block, and templates of a window that are looked at word by word.
-REACH, RANKED = 60, 6
+#: Words before and after an anchor that belong to its block.
+REACH = 60
 
 
 def wording(text: str) -> list[tuple[str, int]]:
@@ -57,11 +58,11 @@ def compressor(dictionary: bytes = b""):
 
 
 @cache
-def templates() -> list[tuple[str, list[str], object]]:
+def templates() -> list[tuple[str, list[str], object, Counter]]:
     out = []
     for name, text in TEMPLATES:
         words = [w for w, _ in wording(text)]
-        out.append((name, words, compressor(" ".join(words).encode())))
+        out.append((name, words, compressor(" ".join(words).encode()), Counter(words)))
     return out
 
 
@@ -103,32 +104,58 @@ def free(a: int, b: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [*out, (a, b)] if a < b else out
 
 
-def differences(template: list[str], block: list[str]) -> tuple[int, int, int]:
-    """(differences, from, to): the fewest words to insert, drop or change to make the template of a range of the block; of equal ones the first."""
-    row = [(0, j) for j in range(len(block) + 1)]
+def differences(template: list[str], block: list[str], most: int | None = None) -> tuple[int, int, int] | None:
+    """(differences, from, to): the fewest words to insert, drop or change to make the template of a range of the block; of equal ones the first. None if more than `most`.
+
+    The range's end is found with a bit for each word of the template (Myers), its start word by word before that end.
+    """
+    size = len(template)
+    same: dict[str, int] = {}
+    for i, w in enumerate(template):
+        same[w] = same.get(w, 0) | 1 << i
+    full, last = (1 << size) - 1, 1 << (size - 1)
+    up, down, n = full, 0, size
+    best, end = size, 0
+    for j, w in enumerate(block, 1):
+        eq = same.get(w, 0)
+        flat = eq | down
+        cross = (((eq & up) + up) ^ up) | eq
+        more, less = (down | ~(cross | up)) & full, up & cross
+        n += bool(more & last) - bool(less & last)
+        more, less = more << 1 & full, less << 1 & full
+        up, down = (less | ~(flat | more)) & full, more & flat
+        if n < best:
+            best, end = n, j
+    if most is not None and best > most:
+        return None
+    at = max(0, end - size - best)
+    row = [(0, j) for j in range(at, end + 1)]
     for i, w in enumerate(template, 1):
-        new = [(i, 0)]
-        for j, b in enumerate(block, 1):
+        new = [(i, at)]
+        for j, b in enumerate(block[at:end], 1):
             new.append(min((row[j - 1][0] + (w != b), row[j - 1][1]), (row[j][0] + 1, row[j][1]), (new[-1][0] + 1, new[-1][1])))
         row = new
-    best = min(range(len(row)), key=lambda j: (row[j][0], j))
-    return row[best][0], row[best][1], best
+    return best, row[-1][1], end
 
 
 def best_in(words: list[tuple[str, int]], a: int, b: int, most: float) -> tuple | None:
     """(rank, row of found_in, from, to) of a range's confirmed wording with the fewest differences for its length, of equal ones the longest, then the first."""
     own = [w for w, _ in words[a:b]]
+    have = Counter(own)
+    near = [k for k, (_, t, _, c) in enumerate(templates()) if sum(min(n, have[w]) for w, n in c.items()) >= len(t) - int(most * len(t))]
+    if not near:
+        return None
     data = " ".join(own).encode()
     bare = len(compressor().compress(data))
-    ranked = sorted(((bare - len(c.compress(data))) / len(t) ** 0.5, k) for k, (_, t, c) in enumerate(templates()))[::-1]
-    least = ranked[min(RANKED, len(ranked)) - 1][0]
+    ranked = sorted(((bare - len(templates()[k][2].compress(data))) / len(templates()[k][1]) ** 0.5, k) for k in near)[::-1]
     best = None
     for saved, k in ranked:
-        if saved < least:
-            break
-        name, template, _ = templates()[k]
-        n, i, j = differences(template, own)
-        if n <= most * len(template) and j > i:
+        name, template, _, _ = templates()[k]
+        if best and best[0][:2] < (0, -len(template)):  # exact and longer
+            continue
+        found = differences(template, own, int(most * len(template)))
+        if found and found[2] > found[1]:
+            n, i, j = found
             rank = (n / len(template), -len(template), a + j, a + i, k)
             if best is None or rank < best[0]:
                 best = rank, (name, words[a + i][1], j - i, n, round(saved * len(template) ** 0.5)), a + i, a + j
@@ -138,14 +165,14 @@ def best_in(words: list[tuple[str, int]], a: int, b: int, most: float) -> tuple
 def found_in(text: str, most: float) -> list[tuple[str, int, int, int, int]]:
     """(license, place, words, differences, reduction) of a text's notices, by place.
 
-    Blocks are looked at in windows that overlap by the longest wording that can be confirmed. Of each window all
-    templates are ranked by how many bytes they save as its raw dictionary, for their own length. The best RANKED, and
-    all that save as much as the last of them, are compared word by word; those with at most `most` differences a word
-    are confirmed. Of confirmed ranges of a text that overlap the one with the fewest differences for its length stays,
-    then the longest. What is left beside it is looked at again.
+    Blocks are looked at in windows that overlap by the longest wording that can be confirmed. Of each window the
+    templates are left out that have more words missing there than may differ, which is exact. All others are compared
+    word by word, in the order of how many bytes they save as its raw dictionary, for their own length; those with at
+    most `most` differences a word are confirmed. Of confirmed ranges of a text that overlap the one with the fewest
+    differences for its length stays, then the longest. What is left beside it is looked at again.
     """
     words = wording(text)
-    longest = max(len(t) + int(most * len(t)) for _, t, _ in templates())
+    longest = max(len(t) + int(most * len(t)) for _, t, *_ in templates())
     reach = max(REACH, longest)
     heap: list[tuple] = []
     taken: list[tuple[int, int]] = []

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -68,3 +69,27 @@ def test_windows_hold_each_range():
         made = licenses.windows(5, 5 + n, 9, 4)
         assert made[0][0] == 5 and made[-1][1] == 5 + n and all(b - a <= 9 for a, b in made)
         assert all(any(a <= i and i + k <= b for a, b in made) for k in range(1, 5) for i in range(5, 6 + n - k))
+
+
+def test_short_notices_beside_altered_long_ones():
+    long = " ".join(" ".join("zzq" if i % 6 == 3 else w for i, w in enumerate(text.split())) for _, text in licenses.TEMPLATES if len(text.split()) > 14)
+    for name, text in licenses.TEMPLATES:
+        found = licenses.found_in(f"{long} {text}", 0.1)
+        assert [(r[0], r[3]) for r in found] == [(name, 0)], (name, found)
+
+
+def test_differences_equal_the_plain_table():
+    rng = random.Random(5)
+    for _ in range(3000):
+        template, block = ([rng.choice("abcd"[: rng.randrange(1, 5)]) for _ in range(rng.randrange(low, 9))] for low in (1, 0))
+        row = [(0, j) for j in range(len(block) + 1)]
+        for i, w in enumerate(template, 1):
+            new = [(i, 0)]
+            for j, b in enumerate(block, 1):
+                new.append(min((row[j - 1][0] + (w != b), row[j - 1][1]), (row[j][0] + 1, row[j][1]), (new[-1][0] + 1, new[-1][1])))
+            row = new
+        end = min(range(len(row)), key=lambda j: (row[j][0], j))
+        want = (row[end][0], row[end][1], end)
+        got = licenses.differences(template, block)
+        assert got == want, (template, block)
+        assert licenses.differences(template, block, want[0]) == want and licenses.differences(template, block, want[0] - 1) is None
