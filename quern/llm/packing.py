@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from bisect import bisect_left
 from functools import cache
@@ -19,6 +20,8 @@ from quern.llm.common import by_batch, text_or_empty, written
 BLOCK = 20_000
 #: The vocabulary's string that stands for a token of its own.
 SPECIAL = "<|endoftext|>"
+#: Runs of what \s is in the vocabulary's pattern (Python's own has \x1c-\x1f besides), that tiktoken's pattern is not given: it backtracks over them, and raises from some 800,000 on.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{100000,}")
 
 
 @cache
@@ -32,6 +35,27 @@ def encoder(ranks: str, special: int):
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={SPECIAL: special})
 
 
+def token_ids(encode, text: str) -> np.ndarray:
+    """The ids of a text of any length. Where tiktoken raises, long white space is cut out as the pattern cuts it: all of a run but its last character is a chunk, and at the end of the text or before SPECIAL all of it."""
+    try:
+        return encode.encode_to_numpy(text, allowed_special={SPECIAL})
+    except ValueError:
+        if not LONG_SPACE.search(text):
+            raise
+    parts = []
+    for k, segment in enumerate(text.split(SPECIAL)):
+        if k:
+            parts.append(encode.encode_to_numpy(SPECIAL, allowed_special={SPECIAL}))
+        at = 0
+        for m in LONG_SPACE.finditer(segment):
+            end = m.end() - (m.end() < len(segment))
+            parts.append(encode.encode_to_numpy(segment[at : m.start()], disallowed_special=()))
+            parts.append(np.array(encode._encode_single_piece(segment[m.start() : end]), dtype="u4"))
+            at = end
+        parts.append(encode.encode_to_numpy(segment[at:], disallowed_special=()))
+    return np.concatenate(parts)
+
+
 def token_pieces(df: DataFrame, ranks: str, capacity: int = 2048, end: int = 0, special: int = 50256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The token sequence of each text, with `end` after it, in pieces of at most `capacity`.
 
@@ -44,7 +68,7 @@ def token_pieces(df: DataFrame, ranks: str, capacity: int = 2048, end: int = 0,
         encode = encoder(ranks, special)
         out: dict[str, list] = {k: [] for k in (id_col, "piece", "start", "length", "ids_crc32")}
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = np.append(encode.encode_to_numpy(text, allowed_special={SPECIAL}), end).astype("<u4")
+            ids = np.append(token_ids(encode, text), end).astype("<u4")
             at, piece = 0, 0
             size = len(ids) % capacity or capacity
             while at < len(ids):

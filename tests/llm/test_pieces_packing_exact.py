@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import pytest
@@ -98,6 +99,43 @@ def test_packing_is_whole_and_tight(spark):
     assert n <= -(-tokens // 2048) + 1
 
 
+def test_long_white_space(spark):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.encoder(RANKS, 50256)
+    run = "\n" * 1_000_000
+    mixed = "\t \r\n\x85\u2003" * 170_000
+    texts = [run, f"a{run}", f"{run}b", f"x {run} y's", f"the{' ' * 1_000_000}cat <|endoftext|>{mixed}", f"{mixed}<|endoftext|>{run}é", f"a{mixed}\x1c{' ' * 200_000}b{' ' * 99_999} <|endoftext|>"]
+    for text in texts:
+        with pytest.raises(ValueError):
+            encode.encode_to_numpy(text, allowed_special={packing.SPECIAL})
+        assert packing.token_ids(encode, text).tolist() == t.encode(text, add_special_tokens=False).ids
+    check_packing(packing.pack_documents(rows(spark, texts[2:4]), RANKS).collect(), texts[2:4], 2048)
+
+
+def test_cuts_of_white_space_equal_the_library(monkeypatch):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode, rng = packing.encoder(RANKS, 50256), random.Random(4)
+    monkeypatch.setattr(packing, "LONG_SPACE", re.compile(packing.LONG_SPACE.pattern.replace("100000", "3")))
+
+    class Raises:
+        _encode_single_piece = encode._encode_single_piece
+        first = True
+
+        def encode_to_numpy(self, text, **more):
+            if self.first:
+                self.first = False
+                raise ValueError
+            return encode.encode_to_numpy(text, **more)
+
+    tried = 0
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "the", " ", "   ", "\n\n\n", "\t", "\x1c", "\x85", "\u3000", "\u200b", "é", "1", "'s", ".", "<|endoftext|>"]) for _ in range(rng.randrange(14)))
+        if packing.LONG_SPACE.search(text):
+            tried += 1
+            assert packing.token_ids(Raises(), text).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+    assert tried > 1000
+
+
 def test_packing_in_many_blocks(spark):
     texts = [("the cat sat " * (i % 97)) for i in range(600)]
     made = packing.token_pieces(rows(spark, texts), RANKS, capacity=256)
