@@ -28,6 +28,17 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
@@ -35,8 +46,8 @@ TEMPLATES = (
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
 )
-#: Every template has one of these stems; a text without any can't hold its wording within the differences allowed.
-ANCHOR = r"(?i)licen[cs]|permi(?:ssion|tted)|copyright|warrant|redistribut"
+#: Every template has more words with these stems than 0.1 of its words, so a text without any can't hold its wording with that share of differences.
+ANCHOR = r"(?i)licen[cs]|permi(?:ssion|tted)|copyright|warrant|distribut|software|binary|waive|mozilla|eclipse|unencumbered|domain"
 WORD = re.compile(r"[a-z0-9]+(?:[.'\-][a-z0-9]+)*")
 #: Words before and after an anchor that belong to its block.
 REACH = 60
@@ -198,8 +209,8 @@ def found_in(text: str, most: float) -> list[tuple[str, int, int, int, int]]:
 def scan(df: DataFrame, most: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per license wording in a text: id, license, place (code points before it), n_words, differences, exact, reduction.
 
-    Texts with a stem of ANCHOR, which Spark tells, go to Python; all of each is looked at. A null or empty
-    text has none; repeated rows repeat theirs.
+    Texts with a stem of ANCHOR, which Spark tells, go to Python; all words within reach of one are looked at,
+    which is whole for `most` up to 0.1. A null or empty text has none; repeated rows repeat theirs.
     """
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:

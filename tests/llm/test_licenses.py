@@ -93,3 +93,25 @@ def test_differences_equal_the_plain_table():
         got = licenses.differences(template, block)
         assert got == want, (template, block)
         assert licenses.differences(template, block, want[0]) == want and licenses.differences(template, block, want[0] - 1) is None
+
+
+def test_any_words_within_the_differences_may_change():
+    for name, text in licenses.TEMPLATES:
+        words = [w for w, _ in licenses.wording(text)]
+        anchors = [i for i, w in enumerate(words) if licenses.anchor().search(w)]
+        most = int(0.1 * len(words))
+        assert len(anchors) > most, name
+        changed = " ".join("zzq" if i in anchors[:most] else w for i, w in enumerate(words))
+        assert [r[3] for r in licenses.found_in(changed, 0.1)] == [most], name
+
+
+def test_further_notices():
+    for text, name in (
+        ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+        ("Licensed under CC BY-NC-ND 4.0.", "CC-BY-NC-ND-4.0"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1"),
+        ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.", "EPL-2.0"),
+        ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ):
+        assert [(r[0], r[3]) for r in licenses.found_in(f"a b c {text} d e", 0.1)] == [(name, 0)]
