@@ -144,8 +144,8 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, passe
 def exchange(a: list[int], b: list[int], lengths: list[int], gap: int, lead: int) -> tuple[list[int], list[int]] | None:
     """The exchange (out of a, into a) that fills a's gap best: d tokens more with -lead < d <= gap, d > 0."""
     best, found = max(0, -lead), None
-    mine = sorted((lengths[i], i) for i in a)
-    yours = sorted((lengths[i], i) for i in b)
+    mine = ends(sorted((lengths[i], i) for i in a))
+    yours = ends(sorted((lengths[i], i) for i in b))
 
     def tightest(items: list[tuple[int, int]], most: int, skip: int = -1) -> tuple[int, int] | None:
         k = bisect_left(items, (most + 1, -1)) - 1
@@ -165,21 +165,25 @@ def exchange(a: list[int], b: list[int], lengths: list[int], gap: int, lead: int
             return found
         if y := tightest(yours, gap + n):
             offer(y[0] - n, [i], [y[1]])
-    if len(mine) * len(yours) <= 4_000:
-        for m, j in yours:
-            if best == gap:
-                return found
-            for n, i in mine:
-                if m > gap + n:
-                    continue
-                if y := tightest(yours, gap + n - m, j):  # two of b's for one of mine
-                    offer(y[0] + m - n, [i], [j, y[1]])
-            for n, i in mine:
-                if n < m and (x := least(mine, m - n - gap, i)):  # one of b's for two of mine
-                    offer(m - n - x[0], [i, x[1]], [j])
+    for m, j in yours:
+        if best == gap:
+            return found
+        for n, i in mine:
+            if m > gap + n:
+                continue
+            if y := tightest(yours, gap + n - m, j):  # two of b's for one of mine
+                offer(y[0] + m - n, [i], [j, y[1]])
+        for n, i in mine:
+            if n < m and (x := least(mine, m - n - gap, i)):  # one of b's for two of mine
+                offer(m - n - x[0], [i, x[1]], [j])
     return found
 
 
+def ends(items: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The first and the last item of each length: no exchange takes more than two of one length. So a bin of many short pieces has few items, some 126 at a capacity of 2048."""
+    return [x for k, x in enumerate(items) if not 0 < k < len(items) - 1 or not items[k - 1][0] == x[0] == items[k + 1][0]]
+
+
 def least(items: list[tuple[int, int]], bound: int, skip: int) -> tuple[int, int] | None:
     k = bisect_left(items, (bound, -1))
     while k < len(items) and items[k][1] == skip:

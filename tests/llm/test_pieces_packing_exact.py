@@ -7,7 +7,7 @@ import pytest
 
 pytest.importorskip("quern.llm")
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import public_tokenizers
 import sentencepiece
@@ -158,6 +158,25 @@ def test_local_search_empties_bins():
         assert all(sum(lengths[i] for i in b) <= 40 for b in out)
 
 
+def test_exchanges_of_many_short_pieces():
+    lengths = [4] * 70 + [3] * 70
+    assert packing.exchange([*range(70)], [*range(70, 140)], lengths, 2, 70) == ([0], [70, 139])  # only two for one fill the gap
+    rng = random.Random(2)
+    for turn in range(300):
+        most, copies = rng.randrange(2, 60), 1 if turn % 2 else 30
+        lengths = [rng.randrange(1, most) for _ in range(rng.randrange(2, 14))] * copies
+        cut, gap, lead = rng.randrange(1, len(lengths)), rng.randrange(1, 20), rng.randrange(-5, 20)
+        a, b = [*range(cut)], [*range(cut, len(lengths))]
+        mine, yours = (sorted(Counter(lengths[i] for i in x).items()) for x in (a, b))
+        twice = [[x + y for k, (x, n) in enumerate(side) for y, _ in side[k if n > 1 else k + 1 :]] for side in (mine, yours)]
+        mine, yours = [x for x, _ in mine], [x for x, _ in yours]
+        every = {*yours} | {y - x for x in mine for y in [*yours, *twice[1]]} | {y - x for x in twice[0] for y in yours}
+        want = max((d for d in every if max(0, -lead) < d <= gap), default=None)
+        got = packing.exchange(a, b, lengths, gap, lead)
+        assert (got and sum(lengths[i] for i in got[1]) - sum(lengths[i] for i in got[0])) == want
+        assert got is None or (len({*got[0]}) == len(got[0]) and {*got[0]} <= {*a} and len({*got[1]}) == len(got[1]) and {*got[1]} <= {*b})
+
+
 def test_exact_groups(spark):
     texts = ODD + ["hot Copy"] * 300 + ["HOT copy"] * 50 + ["É", "é"]
     df = rows(spark, texts)
