@@ -24,6 +24,18 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like those wanted that no column of df has, whatever its case."""
+    own = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in own:
+            name += "_"
+        own.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

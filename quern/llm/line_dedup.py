@@ -2,55 +2,75 @@
 
 from __future__ import annotations
 
+import math
+from struct import iter_unpack, unpack_from
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import partitions, text_or_empty, written
+from quern.llm.common import fresh, text_or_empty, written
 
-#: Characters up to which a word's rarity is counted; longer words are the rarer the longer they are.
-SHORT = 6
-#: Entries of the table of word frequencies and of the table of documents to read again. Both are bounded, whatever the corpus.
-BINS, BITS = 1 << 16, 1 << 16
+#: Binary logarithms of the sizes of two tables that go to each task, whatever the corpus: the bins in which words are counted, and longs of bits for what to read again.
+BINS, BITS = 20, 16
+#: A token of more lines than this is hot: its lines are compared with the first of them before they are with each other.
+HOT = 4096
+#: Bits of a token's number that its hash takes; those above are its rarity.
+HASH = 56
 
 
-def table_of(counts: DataFrame, of: str, kind: str, size: int) -> Column:
-    """A literal array of `size` entries from rows (bin, `of`), at most one for each bin."""
-    got = {r["bin"]: r[of] for r in counts.select("bin", of).collect()}
-    return F.split(F.lit(",".join(str(got.get(i, 0)) for i in range(size))), ",").cast(f"array<{kind}>")  # folded into one literal
+def literal_array(values: list[int], kind: str) -> Column:
+    """One folded literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
 def words(line: Column) -> Column:
-    """Maximal runs without spaces and tabs."""
+    """Runs without spaces, tabs and carriage returns, and "" for each additional one of these."""
     plain = F.when(F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")), F.translate(line, "\t\r", "  ")).otherwise(line)
-    return F.array_remove(F.split(plain, " "), "")
+    return F.split(plain, " ")
 
 
-def rarities(lines: DataFrame) -> Column:
-    """Of each bin of short words twice the binary logarithm of their number of occurrences, up to 63."""
-    each = lines.select(F.explode(words(F.col("text"))).alias("w")).filter(F.length("w") <= SHORT).select(F.pmod(F.xxhash64("w"), F.lit(BINS)).cast("int").alias("bin"))
-    counts = each.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).select("bin", F.least(F.lit(63), F.floor(2 * F.log2(F.col("n") + 1))).cast("int").alias("r"))
-    return table_of(counts, "r", "tinyint", BINS)
+def code(n: int) -> int:
+    """A count by its logarithm, in 7 bits; 0 for a word that occurs once at most."""
+    return 0 if n < 2 else min(127, 1 + int(4 * math.log2(n)))
 
 
-def needs(n: Column, percent: int) -> Column:
-    """The overlap that a set of n needs with any other."""
-    return F.ceil(n * F.lit(percent) / F.lit(100)).cast("int")
+def bin_of(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - BINS)
 
 
-def fits(a: str, b: str, percent: int) -> Column:
-    """Length, positional and parity filters for rows of a shared token: what is left can reach the similarity.
+def rarities(texts: DataFrame) -> list[int]:
+    """Of each bin of words the `code` of how often they occur in all texts: never less than that of one of its words.
 
-    The most tokens that differ bound the bits in which the parities of the sets differ.
+    The counts are one row of a count-min sketch, which tasks fill each by itself and which are added up as
+    2**BINS numbers. What is read here is its public layout: 20 bytes of sizes, a factor, the counts.
     """
-    n, m = (F.shiftright(f"{x}.size_at", 32) for x in (a, b))
-    at_a, at_b = (F.col(f"{x}.size_at").bitwiseAND((1 << 32) - 1) for x in (a, b))
-    overlap = F.ceil((n + m) * F.lit(percent) / F.lit(100 + percent))
-    return (
-        (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
-        & (F.least(n - at_a, m - at_b) >= overlap)
-        & (F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity"))) <= n + m - 2 * overlap)
-    )
+    each = texts.select(F.explode(words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).filter("w <> ''")
+    sketch = each.select(bin_of(F.xxhash64("w")).alias("bin")).agg(F.count_min_sketch("bin", F.lit(2.0 / (1 << BINS)), F.lit(0.5), F.lit(1)).alias("s")).first()["s"]
+    depth, width = unpack_from(">ii", sketch, 12)
+    if depth != 1 or len(sketch) != 28 + 8 * width:
+        raise RuntimeError("the sketch isn't one row of counts")
+    (factor,) = unpack_from(">q", sketch, 20)
+    counts = [code(n) for (n,) in iter_unpack(">q", memoryview(sketch)[28:])]
+
+    def place(b: int) -> int:
+        product = (factor * b + (1 << 63)) % (1 << 64) - (1 << 63)  # as longs overflow
+        return ((product + (product >> 32)) & 0x7FFFFFFF) % width
+
+    return [counts[place(b)] for b in range(1 << BINS)]
+
+
+def may_have(keys: DataFrame, key: Column, own: Column) -> Column:
+    """A predicate on `own`: true for all that some row of keys has as its `key`, and for a few others, by a table of bits."""
+    rest = 64 - BITS
+    bins = keys.select(F.shiftrightunsigned(key, rest - 6).alias("h")).groupBy(F.shiftrightunsigned("h", 6).cast("int").alias("bin"))
+    got = {r["bin"]: r["bits"] for r in bins.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))).alias("bits")).collect()}  # 2**BITS rows at most
+    bits = literal_array([got.get(i, 0) for i in range(1 << BITS)], "bigint")
+    return F.call_function("getbit", bits[F.shiftrightunsigned(own, rest)], F.shiftrightunsigned(own, rest - 6).bitwiseAND(63).cast("int")) == 1
+
+
+def can_match(n: Column, m: Column, parity: Column, other: Column, percent: int) -> Column:
+    """Length filter, and the most tokens that may differ, which bound the bits in which the parities of two sets differ."""
+    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (F.bit_count(parity.bitwiseXOR(other)) * (100 + percent) <= (n + m) * (100 - percent))
 
 
 def removed_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,75 +79,95 @@ def removed_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     Lines are in the order of id and place. Their tokens are the distinct words in lower case; two lines
     match if the Jaccard similarity of their tokens is at least percent / 100. `equal` says that the earlier
     line has the same tokens. A line without words, so every line of a null or empty text, neither matches
-    nor is removed; rows with a null id come first. Ids should be unique.
-
-    The join is exact: lines of equal tokens are one class, known by its first line. Tokens are ordered by
-    rarity (`rarities`, the length of long words, and hash), and classes that match share a token of their prefixes. Rows of a token carry what
-    the filters need. First each class is compared with the earliest of each of its tokens, which decides
-    most of a large group of variants without its pairs. Only the rest, that no earliest one matches,
-    is joined with all others of its tokens. Pairs that pass are verified on their tokens, read again from
-    their first lines; the later of two that match goes.
+    nor is removed; rows with a null id come first. Ids should be unique. Other columns are ignored.
+
+    The join is exact, up to hashes: 56 bits of a word's, and 128 of a set's. Lines of equal tokens are one
+    class, known by its first line. Tokens are ordered by rarity: how often all texts have them, counted in
+    2**BINS bins, then by hash. Classes that match share a token of their prefixes, which the sketch must have
+    counted twice, and pass the length, positional and parity filters. Pairs that pass are verified on their
+    tokens, read again from their first lines; the later of two that match goes.
+
+    A token of many lines would make many pairs. So hot tokens first compare each of their lines with the
+    first of them, which decides most of a large group of variants; two lines that are both decided aren't
+    compared again.
     """
-    spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.lower(text_or_empty(text_col)).alias("text"))
     split = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    rarity = rarities(docs.select(F.replace("text", F.lit("\n"), F.lit(" ")).alias("text")))
+    counted = rarities(docs)
+    rarity = literal_array(counted, "tinyint")
+
+    def key(h: Column) -> Column:
+        return F.shiftleft(rarity[bin_of(h)].cast("long"), HASH).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH))
 
     def ordered(line: Column) -> Column:
-        """Tokens as numbers whose order is that of rarity: 7 bits of it and 56 of the hash. Long words come before short ones."""
-        rank = lambda w: F.when(F.length(w) > SHORT, 63 - F.least(F.lit(63), F.length(w))).otherwise(64 + F.get(rarity, F.pmod(F.xxhash64(w), F.lit(BINS)).cast("int")).cast("int"))
-        rare = lambda w: F.shiftleft(rank(w).cast("long"), 56)
-        return F.sort_array(F.array_distinct(F.transform(words(line), lambda w: rare(w).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8)))))
+        """The tokens as numbers whose order is that of rarity."""
+        numbers = F.transform(F.transform(words(line), lambda w: F.xxhash64(w)), key)
+        return F.array_remove(F.sort_array(F.array_distinct(numbers)), key(F.xxhash64(F.lit(""))))
 
     n = F.size("tokens")
     parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
-    prefix = F.transform(F.slice("tokens", F.lit(1), n - needs(n, percent) + 1), lambda t: F.hash(t))  # 32 bits: an accident makes a candidate, no match
+    once, hot = (F.lit(x << HASH).cast("long") for x in (1, code(HOT)))
+    # 31 bits, as an accident makes a candidate and no match, and one that says whether the token is hot; 0 for one that no other line has.
+    token = lambda t: F.when(t < once, 0).otherwise(F.hash(t).bitwiseOR(1).bitwiseXOR((t < hot).cast("int")))
+    prefix = F.transform(F.slice("tokens", F.lit(1), n - F.ceil(n * F.lit(percent) / F.lit(100)).cast("int") + 1), token)
     # A filter on the tokens would be pushed below and compute them twice.
-    tokens = split.filter(F.col("text").rlike(r"[^ \t\r]")).select("id", "line", ordered(F.col("text")).alias("tokens"))
-    lines = written(tokens.select("id", "line", F.xxhash64("tokens").alias("class"), n.alias("n"), parity.alias("parity"), prefix.alias("prefix")), "lines")
+    sets = split.filter(F.col("text").rlike(r"[^ \t\r]")).select("id", "line", ordered(F.col("text")).alias("tokens"))
+    names = (F.xxhash64("tokens").alias("class"), F.xxhash64(F.lit(1), "tokens").alias("class_2"))
+    lines = written(sets.select("id", "line", *names, n.alias("n"), parity.alias("parity"), prefix.alias("prefix")), "lines")
     place = F.struct(F.col("id").isNotNull().alias("has"), "id", "line")
-    classes = lines.groupBy("class").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
-    rows = classes.select("class", F.col("first.id").alias("id"), "n", "parity", F.posexplode("prefix").alias("at", "token"))
-    rows = rows.select("class", "id", "parity", "token", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("size_at"))
-    rows = rows.repartition(partitions(spark), "token")  # before the windows make wider rows of them
-    group = W.partitionBy("token")
-    by_size = group.orderBy("size_at", "class")
-    size = F.shiftright("size_at", 32)
-    before, after = F.lag(size).over(by_size), F.lead(size).over(by_size)
-    me, first = F.struct("class", "size_at", "parity"), F.min(F.struct(F.col("id").isNotNull().alias("has"), "id", "class", "size_at", "parity")).over(group)
-    # A row that is alone with its token among those of sizes that can match has no partner by it.
-    some = rows.select("token", me.alias("me"), first.alias("lead"), size.alias("n"), before.alias("before"), after.alias("after")).filter((F.col("before") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("after") * percent))
-    leads = F.col("me.class") == F.col("lead.class")
-    groups = written(some.select("token", "me", leads.alias("leads"), F.when(~leads & fits("lead", "me", percent), F.col("lead.class")).alias("pivot")), "groups")
-    firsts = written(lines.groupBy("class").agg(F.min(place).alias("first")), "firsts")
-
-    def matched(pairs: DataFrame) -> DataFrame:
-        """The later classes of pairs (a, b) of classes whose tokens match."""
-        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        named = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        wanted = written(firsts.join(named, "class", "left_semi").select("class", F.col("first.id").alias("wanted_id"), F.col("first.line").alias("wanted_line"), "first"), "wanted")
-        bins = wanted.select(F.pmod(F.xxhash64("wanted_id"), F.lit(BITS * 64)).alias("h")).groupBy(F.shiftright("h", 6).cast("int").alias("bin")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))).alias("bits"))
-        bits = table_of(bins, "bits", "bigint", BITS)
-        h = F.pmod(F.xxhash64("id"), F.lit(BITS * 64))
-        some = docs.filter(F.call_function("getbit", F.get(bits, F.shiftright(h, 6).cast("int")), h.bitwiseAND(63).cast("int")) == 1)  # those that may be wanted
-        found = some.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("wanted_id"))).select("class", "first", ordered(F.get(F.split("text", "\n"), F.col("wanted_line"))).alias("tokens"))
-        sets = written(found, "tokens").filter(F.xxhash64("tokens") == F.col("class"))  # of rows with a common id the one meant
-        side = lambda x: sets.select(F.col("class").alias(x), F.col("tokens").alias(f"t{x}"), F.col("first").alias(f"f{x}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        shared = F.size(F.array_intersect("ta", "tb"))
-        return both.filter(shared * (100 + percent) >= (F.size("ta") + F.size("tb")) * percent).select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("class")).distinct()
-
-    decided = written(matched(groups.filter("pivot IS NOT NULL").select(F.col("pivot").alias("a"), F.col("me.class").alias("b"))), "decided")
-    left = groups.filter("NOT leads").join(decided.withColumnRenamed("class", "gone"), F.col("me.class") == F.col("gone"), "left_anti").select("token", F.col("me").alias("b"))
-    rest = left.join(groups.filter("NOT leads").select("token", F.col("me").alias("a")), "token").filter((F.col("a.class") != F.col("b.class")) & fits("a", "b", percent))
-    gone = decided.unionByName(matched(rest.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")))).distinct().withColumn("similar", F.lit(True))
-    told = written(firsts.join(gone, "class", "left"), "told")
-    out = lines.select("class", "id", "line").join(told, "class").withColumn("equal", ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line") == F.col("first.line"))))
-    return out.filter("equal OR similar").select(F.col("id").alias(id_col), "line", "equal")
+    grouped = lines.groupBy("class", "class_2").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
+    classes = written(grouped.withColumn("number", F.monotonically_increasing_id()), "classes")
+
+    def matched(pairs: DataFrame) -> DataFrame | None:
+        """The later classes of pairs (a, b) of classes whose tokens match; None without pairs."""
+        pairs = written(pairs.distinct(), "pairs")
+        if pairs.isEmpty():
+            return None
+        named = pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct()
+        wanted = written(classes.join(named, "number", "left_semi").select("number", "first", "class", "class_2"), "wanted")
+        doc, at = F.xxhash64("first.id"), F.xxhash64("first.id", "first.line")
+        some = docs.filter(may_have(wanted, doc, F.xxhash64("id")))
+        found = some.select("id", F.posexplode(F.split("text", "\n")).alias("line", "text")).filter(may_have(wanted, at, F.xxhash64("id", "line")))
+        both = found.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line") == F.col("first.line")))
+        told = written(both.select("number", "first", "class", "class_2", ordered(F.col("text")).alias("tokens")), "tokens")
+        meant = told.filter((F.xxhash64("tokens") == F.col("class")) & (F.xxhash64(F.lit(1), "tokens") == F.col("class_2")))  # of rows with a common id
+        side = lambda x: meant.select(F.col("number").alias(x), F.col("tokens").alias(f"t{x}"), F.col("first").alias(f"f{x}"))
+        joined = pairs.join(side("a"), "a").join(side("b"), "b")
+        match = F.size(F.array_intersect("ta", "tb")) * (100 + percent) >= (F.size("ta") + F.size("tb")) * percent
+        return joined.filter(match).select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("number")).distinct()
+
+    rows = classes.select("number", "n", "parity", "first", F.posexplode("prefix").alias("at", "token")).filter("token <> 0")
+    is_hot = F.col("token").bitwiseAND(1) == 1
+    leads = rows.filter(is_hot).groupBy("token").agg(F.min(F.struct("first", "number", "n", "parity")).alias("lead"))
+    led = rows.filter(is_hot).join(leads, "token").filter((F.col("number") != F.col("lead.number")) & can_match(F.col("n"), F.col("lead.n"), F.col("parity"), F.col("lead.parity"), percent))
+    found = matched(led.select(F.col("lead.number").alias("a"), F.col("number").alias("b")))
+    decided = None if found is None else written(found, "decided")
+
+    told = classes.select("number", "n", "parity", "prefix") if decided is None else classes.join(decided.withColumn("gone", F.lit(1)), "number", "left").select("number", "n", "parity", "prefix", "gone")
+    gone = F.lit(0) if decided is None else F.coalesce("gone", F.lit(0))
+    # n, whether it is decided, and the place in one long, so that rows are narrow.
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(gone.cast("long"), 31)).bitwiseOR(F.col("at").cast("long"))
+    rows = told.select("number", "n", "parity", *(["gone"] if decided is not None else []), F.posexplode("prefix").alias("at", "token")).filter("token <> 0").select("token", "number", "parity", packed.alias("size_at"))
+    a, b = rows.alias("a"), rows.alias("b")
+    size, at, out = ({x: f(F.col(f"{x}.size_at")) for x in "ab"} for f in (lambda c: F.shiftright(c, 32), lambda c: c.bitwiseAND((1 << 31) - 1), lambda c: F.shiftright(c, 31).bitwiseAND(1)))
+    positional = F.least(size["a"] - at["a"], size["b"] - at["b"]) * (100 + percent) >= (size["a"] + size["b"]) * percent
+    # All conditions are of both sides, so that both read one exchange, whose large partitions may be split.
+    fits = (F.col("a.number") < F.col("b.number")) & can_match(size["a"], size["b"], F.col("a.parity"), F.col("b.parity"), percent) & positional
+    fits = fits if decided is None else fits & (out["a"] + out["b"] < 2)
+    found = matched(a.join(b, (F.col("a.token") == F.col("b.token")) & fits).select(F.col("a.number").alias("a"), F.col("b.number").alias("b")))
+    later = [x for x in (decided, found) if x is not None]
+    if not later:
+        gone = classes.select("number").limit(0)
+    else:
+        gone = later[0] if len(later) == 1 else later[0].unionByName(later[1]).distinct()
+    firsts = written(classes.select("number", "class", "class_2", "first").join(gone.withColumn("similar", F.lit(True)), "number", "left"), "told")  # as a table the next join can be split at a class of many copies
+    each = lines.select("class", "class_2", "id", "line").join(firsts, ["class", "class_2"]).withColumn("equal", ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line") == F.col("first.line"))))
+    return each.filter("equal OR similar").select(F.col("id").alias(id_col), "line", "equal")
 
 
 def without_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df, with all its columns, its texts without the lines of `removed_lines`. A document whose lines all go keeps an empty text."""
-    gone = removed_lines(df, percent, id_col, text_col).groupBy(F.col(id_col).alias("_id")).agg(F.collect_list("line").alias("_gone"))  # at most a document's lines
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    return df.join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left").withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).select(*df.columns)
+    key, lines = fresh(df, "id", "gone")
+    gone = removed_lines(df, percent, id_col, text_col).groupBy(F.col(id_col).alias(key)).agg(F.collect_list("line").alias(lines))  # at most a document's lines
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains(F.col(lines), i)), "\n")
+    return df.join(gone, F.col(id_col).eqNullSafe(F.col(key)), "left").withColumn(text_col, F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(kept)).select(*df.columns)

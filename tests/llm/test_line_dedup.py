@@ -61,3 +61,27 @@ def test_texts_without_lines(spark):
     assert got.columns == ["doc_id", "text", "id", "line", "class"]
     assert {r.doc_id: r.text for r in got.collect()} == {1: "a b c d e\nx", 2: "keep this", 3: None, 4: "", 5: "a b c d f\n"}
     assert line_dedup.removed_lines(frame(spark, rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [2, 6])
+def test_hot_tokens_lose_nothing(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    rows = corpus(3)
+    assert sorted((tuple(r) for r in line_dedup.removed_lines(frame(spark, rows)).collect()), key=str) == brute(rows)
+
+
+def test_rarities_are_those_of_all_words(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BINS", 12)
+    from pyspark.sql import functions as F
+
+    rows = [(i, " ".join(["often"] * 40 + ["twice\n"] * (i < 2) + ["w%d" % i])) for i in range(30)]
+    counted = line_dedup.rarities(frame(spark, rows))
+    bins = {w: b for w, b in spark.createDataFrame([(w,) for w in ("often", "twice", *("w%d" % i for i in range(30)))], "w string").select("w", line_dedup.bin_of(F.xxhash64("w"))).collect()}
+    assert len(counted) == 1 << 12 and counted[bins["often"]] >= line_dedup.code(1200) and counted[bins["twice"]] >= line_dedup.code(2)
+    assert sum(counted[bins["w%d" % i]] == 0 for i in range(30)) > 20
+
+
+def test_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "a b c d e", 0, 1, 2), (2, "a b c d e\nf", 3, 4, 5)], "doc_id long, text string, _id int, id int, gone int")
+    got = line_dedup.without_lines(rows)
+    assert got.columns == rows.columns and {tuple(r) for r in got.collect()} == {(1, "a b c d e", 0, 1, 2), (2, "f", 3, 4, 5)}
