@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import fresh, text_or_empty, written
 
 #: Binary logarithms of the sizes of two tables that go to each task, whatever the corpus: the bins in which words are counted, and longs of bits for what to read again.
-BINS, BITS = 20, 16
+BINS, BITS = 18, 16
 #: A token of more lines than this is hot: its lines are compared with the first of them before they are with each other.
 HOT = 4096
 #: Bits of a token's number that its hash takes; those above are its rarity.
