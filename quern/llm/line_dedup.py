@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import fresh, text_or_empty, written
 
-#: Binary logarithms of the sizes of two tables that go to each task, whatever the corpus: the bins in which words are counted, and longs of bits for what to read again.
-BINS, BITS = 18, 16
+#: Binary logarithms of the sizes of two tables that go to each task, whatever the corpus: the bins in which words are counted (four bits each), and longs of bits for what to read again.
+BINS, BITS = 20, 16
 #: A token of more lines than this is hot: its lines are compared with the first of them before they are with each other.
 HOT = 4096
 #: Bits of a token's number that its hash takes; those above are its rarity.
 HASH = 56
 
 
-def literal_array(values: list[int], kind: str) -> Column:
-    """One folded literal."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+def longs(values: list[int]) -> Column:
+    """One folded literal of unsigned 64-bit numbers as an array of longs."""
+    return F.split(F.lit(",".join(str(v - (v >> 63 << 64)) for v in values)), ",").cast("array<bigint>")
 
 
 def words(line: Column) -> Column:
@@ -30,8 +30,8 @@ def words(line: Column) -> Column:
 
 
 def code(n: int) -> int:
-    """A count by its logarithm, in 7 bits; 0 for a word that occurs once at most."""
-    return 0 if n < 2 else min(127, 1 + int(4 * math.log2(n)))
+    """A count by its logarithm, in 4 bits; 0 for a word that occurs once at most."""
+    return 0 if n < 2 else min(15, 1 + int(math.log2(n / 2)))
 
 
 def bin_of(h: Column) -> Column:
@@ -64,7 +64,7 @@ def may_have(keys: DataFrame, key: Column, own: Column) -> Column:
     rest = 64 - BITS
     bins = keys.select(F.shiftrightunsigned(key, rest - 6).alias("h")).groupBy(F.shiftrightunsigned("h", 6).cast("int").alias("bin"))
     got = {r["bin"]: r["bits"] for r in bins.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))).alias("bits")).collect()}  # 2**BITS rows at most
-    bits = literal_array([got.get(i, 0) for i in range(1 << BITS)], "bigint")
+    bits = longs([got.get(i, 0) % (1 << 64) for i in range(1 << BITS)])
     return F.call_function("getbit", bits[F.shiftrightunsigned(own, rest)], F.shiftrightunsigned(own, rest - 6).bitwiseAND(63).cast("int")) == 1
 
 
@@ -94,10 +94,13 @@ def removed_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     docs = df.select(F.col(id_col).alias("id"), F.lower(text_or_empty(text_col)).alias("text"))
     split = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     counted = rarities(docs)
-    rarity = literal_array(counted, "tinyint")
+    rarity = longs([sum(c << 4 * i for i, c in enumerate(counted[k : k + 16])) for k in range(0, len(counted), 16)])
 
     def key(h: Column) -> Column:
-        return F.shiftleft(rarity[bin_of(h)].cast("long"), HASH).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH))
+        """The four bits of its bin, above those of the hash."""
+        place = F.shiftrightunsigned(h, 62 - BINS).bitwiseAND(60).cast("int")
+        code_of = F.call_function("shiftrightunsigned", rarity[F.shiftrightunsigned(h, 68 - BINS)], place).bitwiseAND(15)
+        return F.shiftleft(code_of, HASH).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH))
 
     def ordered(line: Column) -> Column:
         """The tokens as numbers whose order is that of rarity."""
@@ -119,7 +122,10 @@ def removed_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     classes = written(grouped.withColumn("number", F.monotonically_increasing_id()), "classes")
 
     def matched(pairs: DataFrame) -> DataFrame | None:
-        """The later classes of pairs (a, b) of classes whose tokens match; None without pairs."""
+        """The later classes of pairs (a, b) of classes whose tokens match; None without pairs.
+
+        Each class is first compared with the earliest of its partners; the others are left for those that it doesn't match.
+        """
         pairs = written(pairs.distinct(), "pairs")
         if pairs.isEmpty():
             return None
@@ -129,17 +135,27 @@ def removed_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text
         some = docs.filter(may_have(wanted, doc, F.xxhash64("id")))
         found = some.select("id", F.posexplode(F.split("text", "\n")).alias("line", "text")).filter(may_have(wanted, at, F.xxhash64("id", "line")))
         both = found.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line") == F.col("first.line")))
-        told = written(both.select("number", "first", "class", "class_2", ordered(F.col("text")).alias("tokens")), "tokens")
-        meant = told.filter((F.xxhash64("tokens") == F.col("class")) & (F.xxhash64(F.lit(1), "tokens") == F.col("class_2")))  # of rows with a common id
-        side = lambda x: meant.select(F.col("number").alias(x), F.col("tokens").alias(f"t{x}"), F.col("first").alias(f"f{x}"))
-        joined = pairs.join(side("a"), "a").join(side("b"), "b")
-        match = F.size(F.array_intersect("ta", "tb")) * (100 + percent) >= (F.size("ta") + F.size("tb")) * percent
-        return joined.filter(match).select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("number")).distinct()
-
-    rows = classes.select("number", "n", "parity", "first", F.posexplode("prefix").alias("at", "token")).filter("token <> 0")
-    is_hot = F.col("token").bitwiseAND(1) == 1
-    leads = rows.filter(is_hot).groupBy("token").agg(F.min(F.struct("first", "number", "n", "parity")).alias("lead"))
-    led = rows.filter(is_hot).join(leads, "token").filter((F.col("number") != F.col("lead.number")) & can_match(F.col("n"), F.col("lead.n"), F.col("parity"), F.col("lead.parity"), percent))
+        told = written(both.select("number", "class", "class_2", ordered(F.col("text")).alias("tokens")), "tokens")
+        meant = told.filter((F.xxhash64("tokens") == F.col("class")) & (F.xxhash64(F.lit(1), "tokens") == F.col("class_2"))).select("number", "tokens")  # of rows with a common id
+        place_of = lambda x: wanted.select(F.col("number").alias(x), F.col("first").alias(f"f{x}"))
+        sides = pairs.join(place_of("a"), "a").join(place_of("b"), "b")
+        swap = F.col("fb") < F.col("fa")
+        directed = written(sides.select(F.when(swap, F.col("a")).otherwise(F.col("b")).alias("late"), F.when(swap, F.struct(F.col("fb").alias("place"), F.col("b").alias("number"))).otherwise(F.struct(F.col("fa").alias("place"), F.col("a").alias("number"))).alias("early")), "directed")
+
+        def verified(chosen: DataFrame) -> DataFrame:
+            with_late = chosen.join(meant.select(F.col("number").alias("late"), F.col("tokens").alias("ta")), "late")
+            with_both = with_late.join(meant.select(F.col("number").alias("early"), F.col("tokens").alias("tb")), "early")
+            return with_both.filter(F.size(F.array_intersect("ta", "tb")) * (100 + percent) >= (F.size("ta") + F.size("tb")) * percent).select(F.col("late").alias("number")).distinct()
+
+        earliest = directed.groupBy("late").agg(F.min("early").alias("early"))
+        sure = written(verified(earliest.select("late", F.col("early.number").alias("early"))), "sure")
+        rest = directed.join(sure.withColumnRenamed("number", "late"), "late", "left_anti").select("late", F.col("early.number").alias("early"))
+        return sure.unionByName(verified(rest)).distinct()
+
+    rows = classes.filter(F.element_at("prefix", -1).bitwiseAND(1) == 1)  # the most frequent token of the prefix is its last
+    rows = rows.select("number", "n", "parity", "first", F.explode("prefix").alias("token")).filter(F.col("token").bitwiseAND(1) == 1)
+    leads = rows.groupBy("token").agg(F.min(F.struct("first", "number", "n", "parity")).alias("lead"))
+    led = rows.join(leads, "token").filter((F.col("number") != F.col("lead.number")) & can_match(F.col("n"), F.col("lead.n"), F.col("parity"), F.col("lead.parity"), percent))
     found = matched(led.select(F.col("lead.number").alias("a"), F.col("number").alias("b")))
     decided = None if found is None else written(found, "decided")
 
