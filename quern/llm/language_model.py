@@ -20,7 +20,7 @@ DISCOUNT, MOST = 0.75, 0.95
 #: The triples of the model are those whose two pairs both occur so often in training, and the weight of the failure arc of a state of two words.
 LEAST, FAILURE = 2, 0.4
 #: Bytes of text from which a part is full. A longer text is a part of its own.
-PART = 16 << 20
+PART = 8 << 20
 #: Tokens that one lane walks.
 LANE = 512
 #: The token after a text's words, which is also the context of its first word. Words never hold a space.
@@ -271,7 +271,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     docs = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     parts = written(docs.mapInArrow(lots, f"part long, bytes long, ids array<{name}>, lengths binary, texts binary"), "parts")
     told = parts.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).first()
-    n, spread = max(1, told["n"]), max(partitions(spark), -(-(told["bytes"] or 0) // (2 * PART)))
+    n, spread = max(1, told["n"]), max(partitions(spark), -(-(told["bytes"] or 0) // (8 * PART)))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
