@@ -79,7 +79,8 @@ def removed_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     Lines are in the order of id and place. Their tokens are the distinct words in lower case; two lines
     match if the Jaccard similarity of their tokens is at least percent / 100. `equal` says that the earlier
     line has the same tokens. A line without words, so every line of a null or empty text, neither matches
-    nor is removed; rows with a null id come first. Ids should be unique. Other columns are ignored.
+    nor is removed; rows with a null id come first. Ids should be unique: the lines at one place of several rows with an id
+    are judged as any of them. Other columns are ignored.
 
     The join is exact, up to hashes: 56 bits of a word's, and 128 of a set's. Lines of equal tokens are one
     class, known by its first line. Tokens are ordered by rarity: how often all texts have them, counted in
@@ -100,7 +101,7 @@ def removed_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text
         """The four bits of its bin, above those of the hash."""
         place = F.shiftrightunsigned(h, 62 - BINS).bitwiseAND(60).cast("int")
         code_of = F.call_function("shiftrightunsigned", rarity[F.shiftrightunsigned(h, 68 - BINS)], place).bitwiseAND(15)
-        return F.shiftleft(code_of, HASH).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH))
+        return F.coalesce(F.shiftleft(code_of, HASH).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH)), F.lit(0).cast("long"))  # never null, so that arrays are sorted as primitive ones
 
     def ordered(line: Column) -> Column:
         """The tokens as numbers whose order is that of rarity."""
@@ -118,66 +119,58 @@ def removed_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     names = (F.xxhash64("tokens").alias("class"), F.xxhash64(F.lit(1), "tokens").alias("class_2"))
     lines = written(sets.select("id", "line", *names, n.alias("n"), parity.alias("parity"), prefix.alias("prefix")), "lines")
     place = F.struct(F.col("id").isNotNull().alias("has"), "id", "line")
-    grouped = lines.groupBy("class", "class_2").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
-    classes = written(grouped.withColumn("number", F.monotonically_increasing_id()), "classes")
+    grouped = lines.groupBy("class", "class_2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
+    classes = written(grouped.select("class", "class_2", "copies", F.col("first.id").alias("id"), F.col("first.line").alias("line"), "n", "parity", "prefix"), "classes")
+    told = [F.col("id").eqNullSafe(F.col("to_id")), F.col("line") == F.col("to_line")]
 
     def matched(pairs: DataFrame) -> DataFrame | None:
-        """The later classes of pairs (a, b) of classes whose tokens match; None without pairs.
+        """The later lines (id, line) of pairs (id, line, early) whose tokens match; None without pairs.
 
-        Each class is first compared with the earliest of its partners; the others are left for those that it doesn't match.
+        Each is first compared with the earliest of its partners, the others are left for those that it doesn't match.
         """
         pairs = written(pairs.distinct(), "pairs")
         if pairs.isEmpty():
             return None
-        named = pairs.select(F.explode(F.array("a", "b")).alias("number")).distinct()
-        wanted = written(classes.join(named, "number", "left_semi").select("number", "first", "class", "class_2"), "wanted")
-        doc, at = F.xxhash64("first.id"), F.xxhash64("first.id", "first.line")
-        some = docs.filter(may_have(wanted, doc, F.xxhash64("id")))
-        found = some.select("id", F.posexplode(F.split("text", "\n")).alias("line", "text")).filter(may_have(wanted, at, F.xxhash64("id", "line")))
-        both = found.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line") == F.col("first.line")))
-        told = written(both.select("number", "class", "class_2", ordered(F.col("text")).alias("tokens")), "tokens")
-        meant = told.filter((F.xxhash64("tokens") == F.col("class")) & (F.xxhash64(F.lit(1), "tokens") == F.col("class_2"))).select("number", "tokens")  # of rows with a common id
-        place_of = lambda x: wanted.select(F.col("number").alias(x), F.col("first").alias(f"f{x}"))
-        sides = pairs.join(place_of("a"), "a").join(place_of("b"), "b")
-        swap = F.col("fb") < F.col("fa")
-        directed = written(sides.select(F.when(swap, F.col("a")).otherwise(F.col("b")).alias("late"), F.when(swap, F.struct(F.col("fb").alias("place"), F.col("b").alias("number"))).otherwise(F.struct(F.col("fa").alias("place"), F.col("a").alias("number"))).alias("early")), "directed")
+        wanted = written(pairs.select(F.explode(F.array(F.struct("id", "line"), F.struct("early.id", "early.line"))).alias("x")).select(F.col("x.id").alias("to_id"), F.col("x.line").alias("to_line")).distinct(), "wanted")
+        some = docs.filter(may_have(wanted, F.xxhash64("to_id"), F.xxhash64("id")))
+        found = some.select("id", F.posexplode(F.split("text", "\n")).alias("line", "text")).filter(may_have(wanted, F.xxhash64("to_id", "to_line"), F.xxhash64("id", "line")))
+        read = written(found.join(wanted.hint("merge"), told).select("to_id", "to_line", ordered(F.col("text")).alias("tokens")), "tokens")
 
         def verified(chosen: DataFrame) -> DataFrame:
-            with_late = chosen.join(meant.select(F.col("number").alias("late"), F.col("tokens").alias("ta")), "late")
-            with_both = with_late.join(meant.select(F.col("number").alias("early"), F.col("tokens").alias("tb")), "early")
-            return with_both.filter(F.size(F.array_intersect("ta", "tb")) * (100 + percent) >= (F.size("ta") + F.size("tb")) * percent).select(F.col("late").alias("number")).distinct()
+            mine = chosen.join(read, told).select("id", "line", "early", F.col("tokens").alias("own"))
+            both = mine.join(read, [F.col("early.id").eqNullSafe(F.col("to_id")), F.col("early.line") == F.col("to_line")])
+            return both.filter(F.size(F.array_intersect("own", "tokens")) * (100 + percent) >= (F.size("own") + F.size("tokens")) * percent).select("id", "line").distinct()
 
-        earliest = directed.groupBy("late").agg(F.min("early").alias("early"))
-        sure = written(verified(earliest.select("late", F.col("early.number").alias("early"))), "sure")
-        rest = directed.join(sure.withColumnRenamed("number", "late"), "late", "left_anti").select("late", F.col("early.number").alias("early"))
+        sure = written(verified(pairs.groupBy("id", "line").agg(F.min("early").alias("early"))), "sure")
+        rest = pairs.join(sure.select(F.col("id").alias("to_id"), F.col("line").alias("to_line")), told, "left_anti")
         return sure.unionByName(verified(rest)).distinct()
 
+    early = lambda x: F.struct(F.col(f"{x}.id").isNotNull().alias("has"), F.col(f"{x}.id").alias("id"), F.col(f"{x}.line").alias("line")).alias("early")
     rows = classes.filter(F.element_at("prefix", -1).bitwiseAND(1) == 1)  # the most frequent token of the prefix is its last
-    rows = rows.select("number", "n", "parity", "first", F.explode("prefix").alias("token")).filter(F.col("token").bitwiseAND(1) == 1)
-    leads = rows.groupBy("token").agg(F.min(F.struct("first", "number", "n", "parity")).alias("lead"))
-    led = rows.join(leads, "token").filter((F.col("number") != F.col("lead.number")) & can_match(F.col("n"), F.col("lead.n"), F.col("parity"), F.col("lead.parity"), percent))
-    found = matched(led.select(F.col("lead.number").alias("a"), F.col("number").alias("b")))
-    decided = None if found is None else written(found, "decided")
-
-    told = classes.select("number", "n", "parity", "prefix") if decided is None else classes.join(decided.withColumn("gone", F.lit(1)), "number", "left").select("number", "n", "parity", "prefix", "gone")
-    gone = F.lit(0) if decided is None else F.coalesce("gone", F.lit(0))
-    # n, whether it is decided, and the place in one long, so that rows are narrow.
-    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(gone.cast("long"), 31)).bitwiseOR(F.col("at").cast("long"))
-    rows = told.select("number", "n", "parity", *(["gone"] if decided is not None else []), F.posexplode("prefix").alias("at", "token")).filter("token <> 0").select("token", "number", "parity", packed.alias("size_at"))
+    rows = rows.select("id", "line", "n", "parity", F.explode("prefix").alias("token")).filter(F.col("token").bitwiseAND(1) == 1)
+    leads = rows.groupBy("token").agg(F.min(F.struct(F.col("id").isNotNull().alias("has"), "id", "line", "n", "parity")).alias("lead"))
+    led = rows.join(leads, "token").filter(~(F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("line") == F.col("lead.line"))) & can_match(F.col("n"), F.col("lead.n"), F.col("parity"), F.col("lead.parity"), percent))
+    found = matched(led.select("id", "line", early("lead")))
+    decided = None if found is None else written(found.select(F.col("id").alias("to_id"), F.col("line").alias("to_line")), "decided")
+
+    known = classes.select("id", "line", "n", "parity", "prefix", F.lit(0).alias("gone")) if decided is None else classes.join(decided.withColumn("gone", F.lit(1)), told, "left").select("id", "line", "n", "parity", "prefix", F.coalesce("gone", F.lit(0)).alias("gone"))
+    # The size, whether it is decided, and the place in one long, so that rows are narrow.
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("gone").cast("long"), 31)).bitwiseOR(F.col("at").cast("long"))
+    rows = known.select("id", "line", "n", "parity", "gone", F.posexplode("prefix").alias("at", "token")).filter("token <> 0").select("token", "id", "line", "parity", packed.alias("size_at"))
     a, b = rows.alias("a"), rows.alias("b")
-    size, at, out = ({x: f(F.col(f"{x}.size_at")) for x in "ab"} for f in (lambda c: F.shiftright(c, 32), lambda c: c.bitwiseAND((1 << 31) - 1), lambda c: F.shiftright(c, 31).bitwiseAND(1)))
+    size, at = ({x: f(F.col(f"{x}.size_at")) for x in "ab"} for f in (lambda c: F.shiftright(c, 32), lambda c: c.bitwiseAND((1 << 31) - 1)))
+    before = (F.col("a.id") < F.col("b.id")) | (F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.line") < F.col("b.line"))) | (F.col("a.id").isNull() & F.col("b.id").isNotNull())
     positional = F.least(size["a"] - at["a"], size["b"] - at["b"]) * (100 + percent) >= (size["a"] + size["b"]) * percent
-    # All conditions are of both sides, so that both read one exchange, whose large partitions may be split.
-    fits = (F.col("a.number") < F.col("b.number")) & can_match(size["a"], size["b"], F.col("a.parity"), F.col("b.parity"), percent) & positional
-    fits = fits if decided is None else fits & (out["a"] + out["b"] < 2)
-    found = matched(a.join(b, (F.col("a.token") == F.col("b.token")) & fits).select(F.col("a.number").alias("a"), F.col("b.number").alias("b")))
-    later = [x for x in (decided, found) if x is not None]
-    if not later:
-        gone = classes.select("number").limit(0)
-    else:
-        gone = later[0] if len(later) == 1 else later[0].unionByName(later[1]).distinct()
-    firsts = written(classes.select("number", "class", "class_2", "first").join(gone.withColumn("similar", F.lit(True)), "number", "left"), "told")  # as a table the next join can be split at a class of many copies
-    each = lines.select("class", "class_2", "id", "line").join(firsts, ["class", "class_2"]).withColumn("equal", ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line") == F.col("first.line"))))
+    undecided = F.shiftright(F.col("b.size_at"), 31).bitwiseAND(1) <= F.col("a.size_at").bitwiseAND(0)
+    # All conditions are of both sides (the last one for that reason alone), so that both read one exchange, whose large partitions may be split.
+    fits = before & can_match(size["a"], size["b"], F.col("a.parity"), F.col("b.parity"), percent) & positional & undecided
+    found = matched(a.join(b, (F.col("a.token") == F.col("b.token")) & fits).select(F.col("b.id").alias("id"), F.col("b.line").alias("line"), early("a")))
+    gone = classes.select("id", "line").limit(0) if found is None else found
+    gone = gone if decided is None else gone.unionByName(decided.toDF("id", "line")).distinct()
+    similar = classes.join(gone.select(F.col("id").alias("to_id"), F.col("line").alias("to_line"), F.lit(True).alias("similar")), told, "left").filter("similar OR copies > 1")
+    # As a table the next join can be split at a class of many copies.
+    firsts = written(similar.select("class", "class_2", F.col("id").alias("first_id"), F.col("line").alias("first_line"), "similar"), "told")
+    each = lines.select("class", "class_2", "id", "line").join(firsts, ["class", "class_2"]).withColumn("equal", ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("line") == F.col("first_line"))))
     return each.filter("equal OR similar").select(F.col("id").alias(id_col), "line", "equal")
 
 
