@@ -88,7 +88,7 @@ def linkage_end_to_end(spark, d):
 
 
 @query(f"""WITH {VEC} SELECT r_id, s1_id, cos, rank, cos1, cos2, round(CASE WHEN rank = 0 THEN cos - cos2 ELSE cos - cos1 END, 6) AS margin,
-count(*) OVER (PARTITION BY r_id) AS n_cand_r, count(*) OVER (PARTITION BY s1_id) AS n_cand_s1, round(cos - max(cos) OVER (PARTITION BY s1_id), 6) AS gap_s1, row_number() OVER (PARTITION BY s1_id ORDER BY cos DESC, r_id) AS rank_s1 FROM gap""")
+count(*) OVER (PARTITION BY r_id) AS n_cand_r, count(*) OVER (PARTITION BY s1_id) AS n_cand_s1, round(max(cos) OVER (PARTITION BY s1_id) - cos, 6) AS gap_s1, row_number() OVER (PARTITION BY s1_id ORDER BY cos DESC, r_id) AS rank_s1 FROM gap""")
 def pair_competition(spark, d):
     return rounded(context.competition(linkage.candidates(*tables.vectors(spark, d), CONFIG)), "margin", "gap_s1")
 
@@ -209,7 +209,7 @@ def output_contract(spark, d):
 
 @query(f"""WITH {PAIRS}, a AS (SELECT *, max(p) OVER (PARTITION BY r_id) AS pmax_r, row_number() OVER (PARTITION BY r_id ORDER BY p DESC, s1_id) AS rank_r, count(*) FILTER (p >= 0.5) OVER (PARTITION BY r_id) AS nconf_r FROM pr),
 b AS (SELECT *, coalesce(nth_value(p, 2) OVER (PARTITION BY r_id ORDER BY rank_r ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) AS second_r FROM a)
-SELECT s1_id, r_id, p, cos, src, pmax_r, rank_r, nconf_r, second_r, (rank_r = 1)::INT AS is_best_r, round(p - CASE WHEN rank_r = 1 THEN second_r ELSE pmax_r END, 6) AS gap_r, round(sum(p) OVER (PARTITION BY s1_id), 6) AS psum_s1, round(sum(p) OVER (PARTITION BY s1_id) - p, 6) AS psum_s1_others,
+SELECT s1_id, r_id, p, cos, src, pmax_r, rank_r, nconf_r, second_r, (rank_r = 1)::INT AS is_best_r, round(p - pmax_r, 6) AS gap_r, round(sum(p) OVER (PARTITION BY s1_id), 6) AS psum_s1, round(sum(p) OVER (PARTITION BY s1_id) - p, 6) AS psum_s1_others,
 count(*) FILTER (p >= 0.9) OVER (PARTITION BY s1_id) AS nconf_s1, count(*) FILTER (p >= 0.9) OVER (PARTITION BY s1_id, src) AS nconf_s1_src, row_number() OVER (PARTITION BY s1_id ORDER BY p DESC, r_id) AS rank_s1, row_number() OVER (PARTITION BY s1_id, src ORDER BY p DESC, r_id) AS rank_s1_src FROM b""")
 def cluster_context(spark, d):
     return rounded(context.cluster_context(tables.pairs(spark, d), CONFIG.confident_r, CONFIG.confident_s1), "gap_r", "psum_s1", "psum_s1_others")

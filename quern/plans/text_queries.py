@@ -39,12 +39,8 @@ def as_map(forms: dict[str, str]) -> str:
     return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in forms.items()) + "}"
 
 
-DOMAIN = r"(?:https?://)?(?:www\.)?([a-z0-9][a-z0-9\-]*)\.(?:com|net|org|co|in|io|biz)\b"
-ALIAS = r"\s*(?:\||\bd/b/a\b|\bdba\b|\bdoing business as\b|\baka\b|\bt/a\b)\s*"
-
-
 def sql_tokens(x: str) -> str:
-    steps = [(r"\b([dl])['’]", r"\1 "), (r"['’]", ""), ("[&+]", " and "), (r"\b(\d+)(bis|ter)\b", r"\1 \2"), (r"[\p{P}\p{S}\s]+", " ")]
+    steps = [(r"\b([djlmnst])['’]", r"\1 "), (r"['’]", ""), ("[&+]", " and "), (r"\b(\d+)(bis|ter)\b", r"\1 \2"), (r"[\p{P}\p{S}\s]+", " ")]
     out = f"lower({x})"
     for pattern, to in steps:
         out = "regexp_replace({}, '{}', '{}', 'g')".format(out, pattern.replace("'", "''"), to)
@@ -56,19 +52,19 @@ def sql_zeros(t: str) -> str:
 
 
 def sql_name(x: str) -> str:
-    tokens = sql_tokens(f"regexp_replace({x}, '{DOMAIN}', ' \\1 ', 'gi')")
-    return f"list_transform(list_transform(list_filter({tokens}, lambda t: t NOT IN ({in_list(text.NULLS)})), lambda t: {sql_zeros('t')}), lambda t: coalesce({as_map(text.NAME_FORMS)}[t], t))"
+    """The rows that `raw` makes have a host as their last word, if any."""
+    host = f"CASE WHEN {x} LIKE '% www.%.com' THEN regexp_extract({x}, '^(.*) www', 1) || ' ' || split_part(split_part({x}, ' www.', 2), '.', 1) ELSE {x} END"
+    return f"list_transform(list_transform(list_filter({sql_tokens('(' + host + ')')}, lambda t: t NOT IN ({in_list(text.NULLS)})), lambda t: {sql_zeros('t')}), lambda t: coalesce({as_map(text.NAME_FORMS)}[t], t))"
 
 
 def sql_core(tokens: str) -> str:
-    left = f"list_filter({tokens}, lambda t: t NOT IN ({in_list(text.LEGAL + text.STOP)}))"
-    return f"CASE WHEN len({left}) > 0 THEN {left} ELSE {tokens} END"
+    return f"list_filter({tokens}, lambda t: t NOT IN ({in_list(text.LEGAL + text.STOP)}))"
 
 
-@query(rf"""WITH {RAW}, pt AS (SELECT id, name_raw, list_filter(regexp_split_to_array(name_raw, '(?i){ALIAS}'), lambda p: trim(p) <> '') AS parts FROM raw),
-tk AS (SELECT *, list_transform(parts, lambda p: {sql_name('p')}) AS each FROM pt)
-SELECT id, array_to_string(flatten(each), ' ') AS name, array_to_string({sql_core('flatten(each)')}, ' ') AS name_core, CASE WHEN len(parts) > 1 THEN array_to_string(list_transform(each, lambda e: array_to_string({sql_core('e')}, ' ')), '|') ELSE '' END AS name_alt,
-regexp_matches(name_raw, '(?i){DOMAIN}') AS name_is_domain, len(parts) > 1 AS name_has_dba FROM tk""")
+@query(rf"""WITH {RAW}, pt AS (SELECT id, name_raw, string_split(name_raw, ' d/b/a ') AS parts FROM raw),
+tk AS (SELECT *, list_transform(parts, lambda p: {sql_name('p')}) AS each FROM pt), al AS (SELECT *, flatten(each) AS tokens FROM tk)
+SELECT id, array_to_string(tokens, ' ') AS name, CASE WHEN len({sql_core('tokens')}) > 0 THEN array_to_string({sql_core('tokens')}, ' ') ELSE array_to_string(tokens, ' ') END AS name_core, CASE WHEN len(parts) > 1 THEN array_to_string(list_filter(list_transform(each, lambda e: array_to_string({sql_core('e')}, ' ')), lambda e: e <> ''), '|') ELSE '' END AS name_alt,
+contains(name_raw, ' www.') AS name_is_domain, len(parts) > 1 AS name_has_dba FROM al""")
 def norm_name(spark, d):
     return raw(spark, d).select("id", *(c.alias(n) for n, c in text.name(F.col("name_raw")).items()))
 
@@ -82,7 +78,7 @@ SYNONYMS = {"brand 1": "brand one", "brand 2": "second brand"}
 
 @query(rf"""WITH {RAW}, pt AS (SELECT id, list_filter(list_transform(string_split(addr_raw, ','), lambda p: {sql_key('p')}), lambda p: p <> '' AND p NOT IN ({in_list(text.NULLS)})) AS parts FROM raw),
 sy AS (SELECT id, list_transform(parts, lambda p: coalesce({as_map(SYNONYMS)}[p], p)) AS parts FROM pt),
-tk AS (SELECT id, list_transform(list_filter(list_transform(flatten(list_transform(parts, lambda p: {sql_tokens('p')})), lambda t: {sql_zeros('t')}), lambda t: t NOT IN ({in_list(text.NUMBER_MARKS)})), lambda t: coalesce({as_map(text.ADDRESS_FORMS)}[t], t)) AS tokens FROM sy),
+tk AS (SELECT id, list_transform(list_filter(list_transform(flatten(list_transform(parts, lambda p: {sql_tokens('p')})), lambda t: {sql_zeros('t')}), lambda t: t NOT IN ({in_list(text.NULLS + text.NUMBER_MARKS)})), lambda t: coalesce({as_map(text.ADDRESS_FORMS)}[t], t)) AS tokens FROM sy),
 ad AS (SELECT id, array_to_string(tokens, ' ') AS addr FROM tk)
 SELECT id, addr, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(addr, '[0-9]+'), lambda t: {sql_zeros('t')}))), ',') AS addr_nums FROM ad""")
 def norm_address(spark, d):
@@ -91,12 +87,15 @@ def norm_address(spark, d):
     return raw(spark, d).select("id", made["addr"].alias("addr"), F.array_join(made["addr_nums"], ",").alias("addr_nums"))
 
 
-@query(rf"SELECT page_id, regexp_replace(url, '{DOMAIN}', ' \1 ', 'gi') AS bare, regexp_matches(url, '(?i){DOMAIN}') AS has_domain FROM pages")
+@query(f"""WITH h AS (SELECT page_id, string_split(regexp_extract(lower(url), '[a-z0-9.-]*[.][a-z0-9.-]*'), '.') AS labels FROM pages), d AS (SELECT page_id, list_filter(range(2, len(labels) + 1), lambda i: labels[i] IN ({in_list(text.TOP_LEVEL)}) AND labels[i - 1] <> '') AS places, labels FROM h)
+SELECT page_id, CASE WHEN len(places) > 0 THEN labels[places[1] - 1] ELSE '' END AS label, len(places) > 0 AS has_domain FROM d""")
 def domain_extract(spark, d):
-    return tables.table(spark, d, "pages").select("page_id", text.without_domain(F.col("url")).alias("bare"), text.has_domain(F.col("url")).alias("has_domain"))
+    """The label before the top-level name of a page's host."""
+    url = F.lower("url")
+    return tables.table(spark, d, "pages").select("page_id", F.regexp_extract(url, text.DOMAIN, 1).alias("label"), text.has_domain(url).alias("has_domain"))
 
 
-@query(rf"WITH {RAW} SELECT id, unnest(list_filter(regexp_split_to_array(name_raw, '(?i){ALIAS}'), lambda p: trim(p) <> '')) AS part FROM raw")
+@query(rf"WITH {RAW} SELECT id, unnest(list_transform(string_split(name_raw, ' d/b/a '), lambda p: trim(p))) AS part FROM raw")
 def alias_split(spark, d):
     return raw(spark, d).select("id", F.explode(text.alias_parts(F.col("name_raw"))).alias("part"))
 
@@ -116,7 +115,7 @@ def component_keys(spark, d):
     return raw(spark, d).select("id", F.array_join(F.array_sort(text.component_keys(F.col("addr_raw"))), "|").alias("keys"))
 
 
-FOLD = "list_reduce(list_concat([''], string_split(translate(regexp_replace(lower({0}), '[^a-z]|[aeiouyh]', '', 'g'), 'bgdvzjcq', 'pktfsskk'), '')), lambda a, c: CASE WHEN right(a, 1) = c THEN a ELSE a || c END)"
+FOLD = "list_reduce(list_concat([''], string_split(translate(regexp_replace(lower({0}), '[^a-z]|[aeiouyh]', '', 'g'), 'fqczwxbdg', 'pkkjvkptk'), '')), lambda a, c: CASE WHEN right(a, 1) = c THEN a ELSE a || c END)"
 
 
 @query(f"WITH {RAW} SELECT id, {FOLD.format('name_raw')} AS skeleton FROM raw")

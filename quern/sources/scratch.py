@@ -9,16 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where it is unset (tests) a folder of this machine."""
+    """spark.checkpoint.dir; where it is unset and Spark runs in one process, as in tests, a folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         found = f"file://{tempfile.mkdtemp(prefix='quern-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def parquet(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, for what is read several times or ends a lineage."""
+    """df as a Parquet table in the shared folder, for what is read several times or ends a lineage. `clear` deletes it."""
     path = f"{scratch(df.sparkSession)}/quern/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that `parquet` has written: for after the results that read them are written elsewhere."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark)}/quern")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -30,10 +30,15 @@ def source(spark: SparkSession, path: str) -> DataFrame:
 def daily(spark: SparkSession, path: str, delay: str = "7 days") -> DataFrame:
     """Counts and sums a day and type of event, by a watermarked window that runs until what is there is read."""
     made = source(spark, path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    name, at = f"daily_{uuid.uuid4().hex}", scratch(spark)
-    run = made.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n", "total").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{at}/{name}").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    told = made.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n", "total")
+    out = f"{scratch(spark)}/daily-{uuid.uuid4().hex}"
+    spark.createDataFrame([], told.schema).write.parquet(out)
+
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out)  # each batch has all windows
+
+    told.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(told.schema).parquet(out)
 
 
 def linked(spark: SparkSession, path: str, k: int) -> DataFrame:

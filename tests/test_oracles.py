@@ -53,6 +53,23 @@ def test_names():
     assert set(ORACLES) <= set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_without_llm(tmp_path):
+    """The library, its queries and their SQL without the subpackage llm, and with and without the pipeline."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/quern", tmp_path / "quern", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    ask = [sys.executable, "-c", "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q) and 'pipeline' not in q and len(q) > 50"]
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    assert subprocess.run(ask, cwd=tmp_path, env=env, check=False).returncode == 0
+    if os.path.exists(f"{root}/corpus_pipeline.py"):
+        shutil.copy(f"{root}/corpus_pipeline.py", tmp_path)
+        assert subprocess.run(ask, cwd=tmp_path, env=env, check=False).returncode == 0
+
+
 def test_pair_features(spark):
     got = QUERIES["pair_features"](spark, DATA)
     assert len(got.columns) == 2 + 59 and got.count() == got.select("s1_id", "r_id").distinct().count() > 0
