@@ -73,3 +73,20 @@ def test_peeling_counts_both_sides(spark):
     df = spark.createDataFrame([([1, 2, 3, 4, 5], [3, 4, 5, 6]), ([], [9]), ([], [])], "a array<long>, b array<long>")
     got = df.select(fp.peeled(fp.minus(fp.sketch(F.col("a")), fp.sketch(F.col("b")))).alias("p")).select("p.more", "p.less", fp.empty(F.col("p.cells")).alias("done")).collect()
     assert [tuple(r) for r in got] == [(2, 1, True), (0, 1, True), (0, 0, True)]
+
+
+def test_ids_of_other_types(spark):
+    rows = [(i, f"line {i}\nshared\n" * (i % 5)) for i in range(300)]
+    want = {f"doc-{i:06d}": r for i, *r in ((r.doc_id, r.edited_sha256, r.near_edited, r.near_next) for r in fp.fingerprints(frame(spark, rows)).collect())}
+    named = frame(spark, rows).withColumn("doc_id", F.format_string("doc-%06d", "doc_id"))
+    assert {r.doc_id: [r.edited_sha256, r.near_edited, r.near_next] for r in fp.fingerprints(named).collect()} == want
+    dates = frame(spark, rows).withColumn("doc_id", F.date_add(F.lit("2020-01-01").cast("date"), F.col("doc_id").cast("int")))
+    assert sorted(r.edited_sha256 for r in fp.fingerprints(dates).collect()) == sorted(x[0] for x in want.values())
+
+
+def test_what_retries_leave_is_compared(spark, monkeypatch):
+    rows = [(i, "\n".join(f"{i} {k}" for k in range(60))) for i in range(12)]
+    want = {r.doc_id: (r.near_edited, r.near_next) for r in fp.fingerprints(frame(spark, rows)).collect()}
+    monkeypatch.setattr(fp, "GROWTH", 1)
+    monkeypatch.setattr(fp, "RETRIES", 1)
+    assert {r.doc_id: (r.near_edited, r.near_next) for r in fp.fingerprints(frame(spark, rows)).collect()} == want
