@@ -104,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     """Fits severity grades on at most `sample` labelled rows: 0 not toxic, 1 toxic, 2 toxic with more than the median of the words that toxic rows have more often.
 
     The rows are those of the smallest hash of the id, so the same at each run; ids and labels that are
-    null are left out. Repeated labels count repeatedly. The driver gets the chosen features of these rows,
+    null are left out. Repeated labels and documents count repeatedly, up to `sample` in all. The driver gets the chosen features of these rows,
     and no texts.
     """
     told = labels.filter(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -115,6 +115,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         return {"toxic": batch.column(0), "features": [np.array([x for w in words(t) for x in parts(w)], np.int64) for t in batch.column(1).to_pylist()]}
 
     seen = written(by_batch(texts.select("toxic", "text"), "toxic int, features array<long>", features), "labelled")
+    if seen.count() > sample:  # documents that repeat an id
+        seen = written(seen.orderBy(F.xxhash64("features"), "toxic").limit(sample), "labelled")
     chosen = evident(seen)
     known = np.array(sorted(chosen), np.int64)
 
