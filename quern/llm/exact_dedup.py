@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import ascii_lower, partitions, text_or_empty
+from quern.llm.common import ascii_lower, fresh, partitions, text_or_empty
 
 #: Bytes of the normalised text that splitters hold, before a hash of the whole.
 LEAD = 48
@@ -51,6 +51,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of df that `exact_groups` keeps, with all their columns."""
-    kept = exact_groups(df, id_col, text_col, keep).filter("kept").select(F.col(id_col).alias("_kept")).distinct()
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    """The rows of df that `exact_groups` keeps, with all their columns, whatever their names. Rows of one id with different texts are kept or dropped each by its own text."""
+    key, digest = fresh(df, "kept_id", "kept_sha")
+    kept = exact_groups(df, id_col, text_col, keep).filter("kept").select(F.col(id_col).alias(key), F.col("text_sha256").alias(digest)).distinct()
+    own = F.sha2(ascii_lower(text_or_empty(text_col)), 256)
+    return df.join(kept, F.col(id_col).eqNullSafe(F.col(key)) & (own == F.col(digest)), "left_semi")

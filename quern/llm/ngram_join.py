@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import by_batch, partitions, text_or_empty, written
+from quern.llm.common import by_batch, fresh, partitions, text_or_empty, written
 from quern.llm.graph import components
 from quern.llm.packed import packed_keys, packed_owners, ranges, runs, unpacked_keys, unpacked_owners
 
@@ -461,6 +461,7 @@ def jaccard_components(df: DataFrame, n: int = 4, percent: int = 85, id_col: str
 
 
 def drop_near_copies(df: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df, with all their columns, that are the smallest id of their component."""
-    kept = jaccard_components(df, n, percent, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    """The rows of df, with all their columns, whatever their names, that are the smallest id of their component. Rows that share an id are kept or dropped together."""
+    (key,) = fresh(df, "kept_id")
+    kept = jaccard_components(df, n, percent, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(key)).distinct()
+    return df.join(kept, F.col(id_col).eqNullSafe(F.col(key)), "left_semi")

@@ -138,3 +138,20 @@ def test_graph(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 180)] + [(5, 5), (None, 3), (200, 201), (201, 200)]
     got = dict(graph.components(spark.createDataFrame(edges, "u long, v long")).collect())
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(100, 180)} == {100} and got[201] == 200
+
+
+def test_names_that_clash(spark):
+    from quern.llm.exact_dedup import drop_copies
+    from quern.llm.ngram_join import drop_near_copies
+
+    rows = spark.createDataFrame([(1, "a b c d e", 1, "x", 2), (2, "A b c d e", 1, "y", 2), (3, "other words than these", 1, "z", 2), (None, None, None, None, None)], "doc_id long, text string, _kept int, kept_id string, kept_sha int")
+    for f, kept in ((lambda d: drop_copies(d, keep="largest"), {2, 3, None}), (lambda d: drop_near_copies(d, 5, 80), {1, 3, None})):
+        got = f(rows)
+        assert got.columns == rows.columns and {r.doc_id for r in got.collect()} == kept
+
+
+def test_copies_of_one_id(spark):
+    from quern.llm.exact_dedup import drop_copies
+
+    rows = spark.createDataFrame([(5, "a"), (5, "b"), (7, "A"), (7, "A")], "doc_id long, text string")
+    assert sorted(map(tuple, drop_copies(rows, keep="largest").collect())) == [(5, "b"), (7, "A"), (7, "A")]
