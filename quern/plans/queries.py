@@ -459,14 +459,11 @@ def stage2_gbt(spark, d):
 
 @query()
 def transfer(spark, d):
-    """A model of one source's pairs tested on the other's."""
-    df = labelled(spark, d)
-    out = None
-    for train, test in ((2, 3), (3, 2)):
-        model = scoring.fit(df.filter(F.col("src") == train), PAIR_FEATURES, kind="linear")
-        told = scoring.scored(df.filter(F.col("src") == test), model, PAIR_FEATURES).agg(F.lit(train).alias("trained_on"), F.lit(test).alias("tested_on"), *(c.alias(n) for n, c in scoring.log_loss(F.col("y"), F.col("p")).items()))
-        out = told if out is None else out.unionByName(told)
-    return out
+    """A model of one country's pairs decides another's; the brands are two countries."""
+    half = F.when(F.substring("country", 7, 1) < "3", "A").otherwise("B").alias("country")
+    everyone = tables.everyone(spark, d).select("s1_id", half)
+    df = labelled(spark, d).join(everyone, "s1_id")
+    return rounded(linkage.transfer(df.withColumn("q", F.col("p")), tables.truth(spark, d).select("s1_id", "r_id"), everyone, ["q", "pb", "cos"], "country", [("A", "B"), ("B", "A")]), "f05")
 
 
 @query()

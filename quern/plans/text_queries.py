@@ -353,6 +353,27 @@ def pair_features(spark, d):
     return features.pair_features(linkage.candidates(r, s1, CONFIG), rs, ss)[0]
 
 
+def raw_tsv(spark, d) -> tuple[dict[int, str], str, str]:
+    """Parts as an S1 file, two files of messy copies of some of them, and who belongs to whom."""
+    path = f"{scratch(spark)}/linkage-{uuid.uuid4().hex}"
+    p = raw(spark, d).withColumn("brand", F.concat(F.lit("C"), (F.col("id") % 3).cast("string")))
+    key = F.col("id").cast("string")
+    files = {}
+    clean = F.initcap(F.regexp_replace("name_raw", r"(?i) (d/b/a.*|www.*|incorporated|& l's.*)$", ""))
+    for number, name, addr, some in ((1, F.concat(clean, F.lit(" Ltd")), F.col("addr_raw"), F.lit(True)), (2, F.col("name_raw"), F.regexp_replace("addr_raw", "Street", "St."), F.col("id") % 4 != 0), (3, F.lower("name_raw"), F.when(F.col("id") % 7 == 0, "").otherwise(F.upper("addr_raw")), F.col("id") % 2 == 0)):
+        files[number] = f"{path}/source{number}"
+        records.write_tsv(p.filter(some).select(F.concat(F.lit(f"S{number}-"), key).alias("entity_id"), F.col("brand").alias("country"), name.alias("business_name"), addr.alias("business_address")), files[number])
+    own = F.concat_ws(",", F.when(F.col("id") % 4 != 0, F.concat(F.lit("S2-"), key)), F.when(F.col("id") % 2 == 0, F.concat(F.lit("S3-"), key)))
+    records.write_tsv(p.select(F.concat(F.lit("S1-"), key).alias("source1_entity_id"), own.alias("matched_entity_ids")), f"{path}/truth")
+    return files, f"{path}/truth", f"{path}/out"
+
+
+@query()
+def tsv_to_lists(spark, d):
+    """The whole linkage: from files of raw records to a file of lists."""
+    return linkage.run(spark, *raw_tsv(spark, d), rounds=4)
+
+
 @query("SELECT c_custkey::VARCHAR AS entity_id, c_nationkey::VARCHAR AS country, c_name AS business_name, c_mktsegment AS business_address FROM customer")
 def tsv_round_trip(spark, d):
     path = f"{scratch(spark)}/tsv-{uuid.uuid4().hex}"

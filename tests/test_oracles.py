@@ -42,7 +42,7 @@ def test_equals_sql(spark, duck, name):
     pd.testing.assert_frame_equal(got, want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"feature_importance", "transfer", "pair_features"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"feature_importance", "transfer", "pair_features", "tsv_to_lists"}))
 def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
@@ -73,3 +73,33 @@ def test_without_llm(tmp_path):
 def test_pair_features(spark):
     got = QUERIES["pair_features"](spark, DATA)
     assert len(got.columns) == 2 + 59 and got.count() == got.select("s1_id", "r_id").distinct().count() > 0
+
+
+def test_cheap_features(spark):
+    from quern.operators import features
+    from quern.plans import linkage, tables, text_queries
+
+    r, s1 = tables.vectors(spark, DATA)
+    named = text_queries.raw(spark, DATA).select("id", *(c.alias(n) for n, c in text_queries.text.name(text_queries.F.col("name_raw")).items()), *(c.alias(n) for n, c in text_queries.text.address(text_queries.F.col("addr_raw")).items()), (text_queries.F.col("id") % 7 == 0).alias("addr_missing"))
+    rs, ss = named.join(r.selectExpr("r_id AS id", "src"), "id"), named.join(s1.selectExpr("s1_id AS id"), "id")
+    pairs = linkage.candidates(r, s1)
+    cheap, names = features.cheap_features(pairs, rs, ss)
+    full, all_names = features.pair_features(pairs, rs.withColumns({"country": text_queries.F.lit("x"), "name_native": text_queries.F.lit(False)}), ss.withColumns({"country": text_queries.F.lit("x"), "name_native": text_queries.F.lit(False)}))
+    assert len(names) == 21 and set(names) - set(all_names) == {"name_tset_dr"}
+    names.remove("name_tset_dr")
+    a, b = (df.select("s1_id", "r_id", *names).toPandas().sort_values(["s1_id", "r_id"], ignore_index=True) for df in (cheap, full))
+    pd.testing.assert_frame_equal(a, b)
+    assert (a["gap_s1"] >= 0).all() and (a["gap_r"] >= 0).all()
+
+
+def test_tsv_to_lists(spark):
+    got = {r.source1_entity_id: set((r.matched_entity_ids or "").split(",")) - {""} for r in QUERIES["tsv_to_lists"](spark, DATA).collect()}
+    assert len(got) == 200
+    worth = []
+    for s1, own in got.items():
+        k = int(s1[3:])
+        true = {x for x, some in ((f"S2-{k}", k % 4 != 0), (f"S3-{k}", k % 2 == 0)) if some}
+        worth.append(1.0 if not own and not true else 1.25 * len(own & true) / (len(own) + 0.25 * len(true)))
+    assert sum(worth) / len(worth) > 0.8
+    everyone = [x for own in got.values() for x in own]
+    assert len(everyone) == len(set(everyone))
