@@ -10,11 +10,11 @@ from quern.llm.common import ascii_lower, fresh, partitions, text_or_empty
 
 #: Bytes of the normalised text that splitters hold, before a hash of the whole.
 LEAD = 48
-#: Parts that a group of equal texts is dealt to.
+#: Parts that a group of equal texts is dealt to at least; there are as many as shuffle partitions if these are more.
 SALTS = 32
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", salts: int = SALTS) -> DataFrame:
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", salts: int | None = None) -> DataFrame:
     """One row per row of df: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if their bytes are after lower-casing A-Z; a null text is an empty one. Of equal texts
@@ -26,10 +26,12 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text's first bytes and a hash of all of them, as whole texts would fill the driver; within a partition
     the order goes on by the whole text. A group of copies may hold a third of all rows, so the first sort
     also splits by `salts` classes of the id, and only the first row of each class takes part in a second
-    sort over all classes. Rows find the result by their class's first row.
+    sort over all classes. Rows find the result by their class's first row. Unless given, `salts` grows with
+    the shuffle partitions, so a class of the largest group is no more than a partition's share of the rows.
     """
     order = F.col("id").desc_nulls_last() if keep == "largest" else F.col("id").asc_nulls_last()
     n = partitions(df.sparkSession)
+    salts = salts or max(SALTS, n)
     norm = ascii_lower(text_or_empty(text_col))
     rows = df.select(F.col(id_col).alias("id"), norm.alias("norm")).withColumns({"lead": F.substring(F.encode("norm", "utf-8"), 1, LEAD), "hash": F.xxhash64("norm")})
 
