@@ -24,8 +24,8 @@ PARAGRAPH = 128
 CELLS, ROUNDS, GROWTH = 8, 8, 32
 #: Rounds, each of all three tables, of a retry; what so many retries don't recover is compared without sketches.
 RETRY_ROUNDS, RETRIES = 5, 5
-#: Ranges of ids between which the split into buckets is even.
-RANGES = 64
+#: Ranges of ids at least, and how many cuts between them are looked through together.
+RANGES, GROUP = 64, 64
 
 
 def cell(x: Column, table: int, cells: int) -> Column:
@@ -142,22 +142,28 @@ def measure(docs: DataFrame) -> Column:
 
 
 def buckets(docs: DataFrame, n: int) -> Column:
-    """An even, ascending number for ids by ranges between quantiles, in each of which it is linear. Rows of one id, null too, share it."""
-    number = measure(docs)
-    q = docs.agg(F.percentile_approx(number, [i / RANGES for i in range(RANGES + 1)], 10_000)).first()[0]
-    if not q:
-        return F.lit(0)
-    cuts, share = sorted(set(q)), max(1, n // RANGES)
-
-    def tree(low: int, high: int) -> Column:
-        if high - low <= 1:
-            a, b = cuts[low], cuts[min(low + 1, len(cuts) - 1)]
-            inside = F.floor((number.cast("double") - float(a)) * (share / max(1.0, float(b) - float(a))))
-            return F.lit(low * share) + F.greatest(F.lit(0), F.least(F.lit(share - 1), inside))
-        mid = (low + high) // 2
-        return F.when(number < cuts[mid], tree(low, mid)).otherwise(tree(mid, high))
-
-    return F.when(F.col("id").isNull(), -1).otherwise(tree(0, len(cuts))).cast("int")
+    """An even, ascending number for ids: of n ranges between quantiles, so many lists of GROUP cuts, that which holds the id. Rows of one id, null too, share it."""
+    number = measure(docs).cast("double")
+    n = max(RANGES, n)
+    q = docs.agg(F.percentile_approx(number, [i / n for i in range(1, n)], 20 * n)).first()[0]
+    cuts = sorted(set(q or []))
+    if not cuts:
+        return F.when(F.col("id").isNull(), -1).otherwise(0)
+    groups = [cuts[i : i + GROUP] for i in range(0, len(cuts), GROUP)]
+    heads = _doubles([g[0] for g in groups])
+    # At most a list of n / GROUP cuts and one of GROUP are looked through for a row, not all n.
+    group = F.greatest(F.lit(1), _reached(heads, number))
+    place = (group - 1) * GROUP + _reached(F.element_at(F.array(*map(_doubles, groups)), group), number)
+    return F.when(F.col("id").isNull(), -1).otherwise(place).cast("int")
+
+
+def _doubles(values: list[float]) -> Column:
+    """A constant array, as text, so that a plan has one literal for it and not one a value."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
+def _reached(cuts: Column, number: Column) -> Column:
+    return F.size(F.filter(cuts, lambda c: c <= number))
 
 
 def with_next(docs: DataFrame, n: int, made) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 
@@ -90,3 +91,13 @@ def test_what_retries_leave_is_compared(spark, monkeypatch):
     monkeypatch.setattr(fp, "GROWTH", 1)
     monkeypatch.setattr(fp, "RETRIES", 1)
     assert {r.doc_id: (r.near_edited, r.near_next) for r in fp.fingerprints(frame(spark, rows)).collect()} == want
+
+
+def test_buckets_of_clustered_ids(spark):
+    ids = [*range(3000), *range(10**9, 10**9 + 3000), *(10**17 + 10**6 * i for i in range(3000)), None, None]
+    docs = spark.createDataFrame([(i,) for i in ids], "id long")
+    got = docs.select("id", fp.buckets(docs, 300).alias("bucket")).collect()
+    known = sorted((r.id, r.bucket) for r in got if r.id is not None)
+    assert [b for _, b in known] == sorted(b for _, b in known) and {r.bucket for r in got if r.id is None} == {-1}
+    sizes = [sum(1 for _ in g) for _, g in itertools.groupby(b for _, b in known)]
+    assert len(sizes) >= 290 and max(sizes) <= 60
