@@ -74,6 +74,11 @@ def knn_lsh(spark, d):
     return blocking.knn_lsh(*tables.vectors(spark, d), CONFIG.k, dim=64)
 
 
+@query()
+def knn_probed(spark, d):
+    return blocking.knn_probed(*tables.text_vectors(spark, d), CONFIG.k, probes=4)
+
+
 @query(f"""WITH {VEC},
 sc AS (SELECT s1_id, r_id, cos, round((cos + 1) / 2, 6) AS p FROM gap),
 ex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r_id ORDER BY p DESC, cos DESC, s1_id) AS rn FROM sc) WHERE rn = 1),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.vectors import hashed
 from quern.sources.records import vector
 
 
@@ -42,3 +43,10 @@ def records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     r = o.select(F.concat(F.lit("R-"), F.col("o_orderkey").cast("string")).alias("entity_id"), F.lit(None).cast("string").alias("country"), F.col("o_orderpriority").alias("name_raw"), (2 + F.col("o_orderkey") % 2).cast("int").alias("src"))
     owners = o.filter("o_orderstatus <> 'P'").select(F.concat(F.lit("R-"), F.col("o_orderkey").cast("string")).alias("r_id"), F.concat(F.lit("S1-"), F.col("o_custkey").cast("string")).alias("s1_id"))
     return c.unionByName(r), owners
+
+
+def text_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Hashed trigrams of documents' whole texts: every fifth document is an S1, the others are R; the language is the block."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("block"), hashed(F.lower(F.coalesce("text", F.lit(""))), 64).alias("vec"))
+    r = rows.filter("doc_id % 5 <> 0").select(F.col("doc_id").alias("r_id"), "block", "vec")
+    return r, rows.filter("doc_id % 5 = 0").select(F.col("doc_id").alias("s1_id"), "block", "vec")
