@@ -56,5 +56,5 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     """The rows of df that `exact_groups` keeps, with all their columns, whatever their names. Rows of one id with different texts are kept or dropped each by its own text."""
     key, digest = fresh(df, "kept_id", "kept_sha")
     kept = exact_groups(df, id_col, text_col, keep).filter("kept").select(F.col(id_col).alias(key), F.col("text_sha256").alias(digest)).distinct()
-    own = F.sha2(ascii_lower(text_or_empty(text_col)), 256)
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col(key)) & (own == F.col(digest)), "left_semi")
+    own = F.sha2(ascii_lower(text_or_empty(text_col)), 256)  # compared null-safe for the same reason as in `exact_groups`
+    return df.join(kept, F.col(id_col).eqNullSafe(F.col(key)) & own.eqNullSafe(F.col(digest)), "left_semi")
