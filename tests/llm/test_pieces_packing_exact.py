@@ -208,3 +208,17 @@ def test_exact_groups_null_and_repeated_ids(spark):
 def test_ascii_lower(spark):
     got = spark.createDataFrame([("ABCÀİ z",), ("ABC Z",)], "t string").select(ascii_lower(F.col("t")).alias("t")).collect()
     assert [r.t for r in got] == ["abcÀİ z", "abc z"]
+
+
+def test_dropping_copies_sorts_texts_once(spark):
+    """A filter for nulls below one of the two uses of the dealt texts would make their exchange twice, and double the disk."""
+    df = spark.createDataFrame([(i, f"Text {i % 3}") for i in range(30)], "doc_id long, text string")
+    for q in (exact_dedup.exact_groups(df), exact_dedup.drop_copies(df)):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            q.collect()
+            plan = q._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert "ReusedExchange" in plan.split("Initial Plan")[0]
+        assert "isnotnull(sha2" not in plan
