@@ -8,7 +8,8 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm.common import by_batch, fresh, partitions, text_or_empty, written
@@ -17,6 +18,8 @@ from quern.llm.packed import packed_keys, packed_owners, ranges, runs, unpacked_
 
 #: Documents and n-grams of a block that one task compares.
 DOCS, GRAMS = 1_500, 1_500_000
+#: Documents of a group of linked ones that are compared with other groups at first.
+REPRESENTATIVES = 16
 #: Documents whose keys a task holds at once, and bytes of text for each range of keys.
 AT_ONCE = 2_500
 PART = 32 << 20
@@ -213,7 +216,7 @@ def candidate_edges(df: DataFrame, n: int, percent: int, text_col: str) -> DataF
 
 
 class Node:
-    __slots__ = ("tokens", "children", "docs", "rest", "least", "most", "low", "last")
+    __slots__ = ("tokens", "children", "docs", "rest", "least", "most", "low", "high", "last", "one")
 
     def __init__(self, tokens: np.ndarray):
         self.tokens, self.children, self.docs = tokens, [], []
@@ -223,7 +226,7 @@ def tree(ordered: list[np.ndarray], sizes: np.ndarray) -> tuple[Node, list[int]]
     """The prefix tree of the sets, whose paths without branches are one node, and the sets in its order.
 
     Each node knows of what is below it: the smallest and largest set, the most n-grams to come and the
-    first place in the tree's order.
+    first and last place in the tree's order.
     """
     order = sorted(range(len(ordered)), key=lambda i: ordered[i].astype(">u4").tobytes())
     root = Node(np.zeros(0, np.int64))
@@ -259,18 +262,22 @@ def tree(ordered: list[np.ndarray], sizes: np.ndarray) -> tuple[Node, list[int]]
         node.least = min([*own, *(c.least for c in below)], default=0)
         node.most = max([*own, *(c.most for c in below)], default=0)
         node.low = min([*node.docs, *(c.low for c in below)], default=0)
+        node.high = max([*node.docs, *(c.high for c in below)], default=0)
+        node.one = False
         node.last = int(node.tokens[-1]) if len(node.tokens) else -1
     return root, order
 
 
-def links(found: list[np.ndarray], sizes: np.ndarray, sides: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+def links(found: list[np.ndarray], sizes: np.ndarray, sides: np.ndarray | None, percent: int, known: list | None = None) -> list[tuple[int, int]]:
     """Pairs (i, j) of sets whose Jaccard similarity is at least percent / 100, as many as join all that are linked.
 
     All pairs, or with sides those between sides 0 and 1. N-grams that are in one set only link nothing and
     count in its size alone; the others are ordered by falling frequency, so that sets share long paths of
     the tree. Each set traverses it with the overlap so far. It leaves out what is below a node if the
     sizes there can't fit, or the overlap, with all that can still come on both sides, doesn't suffice.
-    A pair that is already joined through others isn't looked at again.
+    A pair that is already joined through others isn't looked at again, nor is what is below a node once all
+    of it is joined with the set, so a family of n copies takes some n steps and not n * n / 2. The last place
+    before its own is looked at first, where the sets are most alike. known: sets with the same label are joined from the start.
     """
     every = np.concatenate(found)
     _, at, count = np.unique(every, return_inverse=True, return_counts=True)
@@ -290,48 +297,71 @@ def links(found: list[np.ndarray], sizes: np.ndarray, sides: np.ndarray | None,
             i = up[i]
         return i
 
+    if known is not None:
+        heads: dict = {}
+        for x, i in enumerate(order):
+            up[x] = heads.setdefault(known[i], x)
+
+    def joined(node: Node, x: int) -> bool:
+        """Whether all below the node is joined with x."""
+        if not node.one:
+            if not all(c.one for c in node.children):
+                return False
+            under = [*node.docs, *(c.low for c in node.children)]
+            if any(top(y) != top(under[0]) for y in under):
+                return False
+            node.one = True
+        return top(node.low) == top(x)
+
     out = []
     for x in range(len(order)):
         own = ordered[order[x]]
         n = size[x]
         low, high = -(-n * percent // 100), n * 100 // percent
         mark[own] = 1
-        stack = [(root, 0)]
+        stack = [(child, 0) for child in root.children if child.low < x]
         while stack:
             node, overlap = stack.pop()
-            for child in node.children:
-                if child.low >= x or child.most < low or child.least > high:
-                    continue
-                got = overlap + int(mark[child.tokens].sum())
-                left = min(len(own) - int(np.searchsorted(own, child.last, "right")), child.rest)
-                if (got + left) * (100 + percent) < percent * (n + max(low, child.least)):
-                    continue
-                for y in child.docs:
-                    if y < x and (side is None or side[x] != side[y]) and got * (100 + percent) >= percent * (n + size[y]) and (a := top(x)) != (b := top(y)):
-                        up[max(a, b)] = min(a, b)
-                        out.append((order[x], order[y]))
-                if child.children:
-                    stack.append((child, got))
+            if node.most < low or node.least > high or node.high < x and joined(node, x):
+                continue
+            got = overlap + int(mark[node.tokens].sum())
+            left = min(len(own) - int(np.searchsorted(own, node.last, "right")), node.rest)
+            if (got + left) * (100 + percent) < percent * (n + max(low, node.least)):
+                continue
+            for y in node.docs:
+                if y < x and (side is None or side[x] != side[y]) and got * (100 + percent) >= percent * (n + size[y]) and (a := top(x)) != (b := top(y)):
+                    up[max(a, b)] = min(a, b)
+                    out.append((order[x], order[y]))
+            stack += [(child, got) for child in node.children if child.low < x]
         mark[own] = 0
     return out
 
 
+def with_level(members: DataFrame, percent: int) -> DataFrame:
+    """Adds `level`, the class of n_shingles."""
+    known, names, sizes = classes(percent), members.columns, members.columns.index("n_shingles")
+
+    def level(batch: pa.RecordBatch) -> dict[str, list]:
+        return dict(zip(names, batch.columns, strict=True)) | {"level": [known.of(n) for n in batch.column(sizes).to_pylist()]}
+
+    return by_batch(members, ", ".join(f"{c} {kind}" for c, kind in [*members.dtypes, ("level", "int")]), level)
+
+
+def cell_count(docs: str, total: str) -> Column:
+    """Into how many parts documents are cut, so that each fits into a task."""
+    return F.greatest(F.ceil(F.col(docs) / F.lit(DOCS)), F.ceil(F.col(total) / F.lit(GRAMS))).cast("int")
+
+
 def blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Deals candidates (id, component, n_shingles) to blocks: adds `block` (string) and `side`.
+    """Deals candidates (id, component, n_shingles, sure) to blocks: (id, component, sure, block (string), side).
 
     A component of candidates that fits into a task is a block. A larger one is cut by class of sizes and
     hash into cells; each pair of its cells of the same or of adjacent classes is a block, so any two sets
     that can be linked meet in one.
     """
-    known = classes(percent)
-
-    def level(batch: pa.RecordBatch) -> dict[str, list]:
-        return {"id": batch.column(0), "component": batch.column(1), "n_shingles": batch.column(2), "level": [known.of(n) for n in batch.column(2).to_pylist()]}
-
-    kind = members.schema["id"].dataType.simpleString()
-    leveled = by_batch(members.select("id", "component", "n_shingles"), f"id {kind}, component long, n_shingles long, level int", level)
+    leveled = with_level(members.select("id", "component", "n_shingles", "sure"), percent)
     cells = leveled.groupBy("component", "level").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("total"))
-    parts = F.greatest(F.ceil(F.col("docs") / F.lit(DOCS)), F.ceil(F.col("total") / F.lit(GRAMS))).cast("int")
+    parts = cell_count("docs", "total")
     sums = cells.groupBy("component").agg(F.sum("docs").alias("all_docs"), F.sum("total").alias("all_total"), F.map_from_arrays(F.collect_list("level"), F.collect_list(parts)).alias("parts"))
     sums = written(sums, "sums")  # as a table of its own the join can be split at a large component
     small = (F.col("all_docs") <= DOCS) & (F.col("all_total") <= GRAMS)
@@ -345,40 +375,73 @@ def blocks(members: DataFrame, percent: int) -> DataFrame:
         return F.transform(F.when(other > 0, F.sequence(F.lit(0), other - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(name(i).alias("block"), side(i).cast("int").alias("side")))
 
     whole = F.array(F.struct(F.lit("all").alias("block"), F.lit(-1).alias("side")))
-    return told.withColumn("at", F.explode(F.when(small, whole).otherwise(F.concat(pairs(0), pairs(1), pairs(-1))))).select("id", "component", F.col("at.block").alias("block"), F.col("at.side").alias("side"))
+    return told.withColumn("at", F.explode(F.when(small, whole).otherwise(F.concat(pairs(0), pairs(1), pairs(-1))))).select("id", "component", "sure", F.col("at.block").alias("block"), F.col("at.side").alias("side"))
 
 
-def refined(members: DataFrame, percent: int) -> DataFrame:
-    """members (id, component, n_shingles, bits) with large components of candidates taken apart, as far as that loses no link.
+def surely_linked(some: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, component) of documents of large components that are found linked at a cost in proportion to their number.
 
-    Documents that share common passages can make a large component by accident. Its cells meet here with
-    their parities alone: two sets that differ in d n-grams have parities that differ in d bits at most. What
-    the pairs that pass connect is a component of its own; a document that passes with none has no link.
+    Each document is compared with those of its own cell, then with others of the component some REPRESENTATIVES of each
+    group that this finds. Most of a large family of near copies is one group then; what isn't stays to
+    be compared exactly.
+    """
+    leveled = with_level(some.select("id", "component", "n_shingles"), percent)
+    cells = leveled.groupBy("component", "level").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("total"))
+    cells = written(cells.select("component", "level", cell_count("docs", "total").alias("parts")), "cells")
+    alone = lambda block: (F.col("id").alias("sure"), block.alias("block"), F.lit(-1).alias("side"))
+    dealt = leveled.join(cells, ["component", "level"]).select("id", "component", *alone(F.concat_ws("/", F.lit("cell"), "level", F.pmod(F.xxhash64("id"), "parts"))))
+    first = written(components(verify(docs.join(dealt.hint("merge"), "id"), n, percent)).select(F.col("node").alias("id"), F.col("component").alias("sure")), "first")
+    few = F.row_number().over(W.partitionBy("sure").orderBy(F.xxhash64("id"), "id")) <= REPRESENTATIVES  # a group is within a cell
+    chosen = written(first.withColumn("few", few).filter("few").select("id").join(some.select("id", "component", "n_shingles"), "id"), "chosen")
+    sums = written(chosen.groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("total")).select("component", cell_count("docs", "total").alias("parts")), "chosen-sums")
+    dealt = chosen.join(sums, "component").select("id", "component", *alone(F.concat_ws("/", F.lit("chosen"), F.pmod(F.xxhash64("id"), "parts"))))
+    second = verify(docs.join(dealt.hint("merge"), "id"), n, percent)
+    return components(first.select(F.col("sure").alias("u"), F.col("id").alias("v")).unionByName(second))
+
+
+def refined(members: DataFrame, docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """members (id, component, n_shingles, bits) as (id, component, n_shingles, sure), and links already known (node, component) if any; large components of candidates are taken apart, as far as that loses no link.
+
+    Documents of the same `sure` are linked already (`surely_linked`) and aren't compared again. Documents
+    that share common passages can make a large component by accident. Its cells meet here with
+    their parities alone: two sets that differ in d n-grams have parities that differ in d bits at most. A
+    document that passes with none of another group needs no comparison; groups connected by pairs that pass are a component of their own.
     """
     sums = written(members.groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("total")), "large")
     large = (F.col("docs") > DOCS) | (F.col("total") > GRAMS)
     told = members.join(sums, "component")
-    whole = told.filter(~large).select(*members.columns)
+    columns = ["id", "component", "n_shingles", "sure"]
+    whole = told.filter(~large).withColumn("sure", F.col("id")).select(*columns)
     some = written(told.filter(large).select(*members.columns), "some")
     if some.isEmpty():
-        return whole
+        return whole, None
+    sure = written(surely_linked(some, docs, n, percent), "sure")
+    labels = sure.select(F.col("node").alias("id"), F.col("component").alias("_sure"))
+    some = written(some.join(labels, "id", "left").select(*members.columns, F.coalesce("_sure", "id").alias("sure")), "grouped")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, block), rows in runs(batches, 2):
-            _, _, side, ids, size, bits = zip(*rows, strict=True)
+            _, _, side, ids, group, size, bits = zip(*rows, strict=True)
             own = [np.frombuffer(b, U64) for b in bits]
             n, side = np.array(size), np.array(side)
+            names: dict = {}
+            known = np.array([names.setdefault(g, len(names)) for g in group])
+            if len(names) == 1:
+                continue
             widths = sorted({len(b) for b in own})
             at = {w: np.array([i for i, b in enumerate(own) if len(b) == w]) for w in widths}
             stacked = {w: np.stack([own[i] for i in at[w]]) for w in widths}
-            label = np.arange(len(ids))
-            u, v = [], []
+            label = known.copy()
+            told = np.zeros(len(ids), bool)
+            out: tuple[list, list, list] = ([], [], [])
             for i, b in enumerate(own):
                 for w in widths:
                     if w > len(b):
                         break
                     j = at[w]  # of two widths the wider one is folded and looks for the narrower
-                    pick = (n[j] * 100 >= n[i] * percent) & (n[i] * 100 >= n[j] * percent) & (label[j] != label[i])
+                    pick = (n[j] * 100 >= n[i] * percent) & (n[i] * 100 >= n[j] * percent) & (known[j] != known[i])
+                    if told[i]:
+                        pick &= (label[j] != label[i]) | ~told[j]
                     if w == len(b):
                         pick &= j < i
                     if side.max() >= 0:
@@ -389,42 +452,48 @@ def refined(members: DataFrame, percent: int) -> DataFrame:
                     apart = np.bitwise_count(stacked[w][pick] ^ folded(b, w)).sum(axis=1)
                     j = j[apart <= (n[i] + n[j]) * (100 - percent) // (100 + percent)]
                     for k in j:
-                        if label[k] != label[i]:
-                            u.append(ids[i])
-                            v.append(ids[k])
+                        if label[k] != label[i] or not told[i] or not told[k]:
+                            for x, y in ((i, k), (k, i)):
+                                out[0].append(ids[x])
+                                out[1].append(group[x])
+                                out[2].append(group[y])
+                            told[i] = told[k] = True
                             label[label == label[k]] = label[i]
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(u, kind), pa.array(v, kind)], names=["u", "v"])
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x in out], names=["id", "u", "v"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind, name = to_arrow_type(members.schema["id"].dataType), members.schema["id"].dataType.simpleString()
-    dealt = blocks(some, percent).join(some.select("id", "n_shingles", "bits").hint("merge"), "id").select("component", "block", "side", "id", "n_shingles", "bits")
+    dealt = blocks(some, percent).join(some.select("id", "n_shingles", "bits").hint("merge"), "id").select("component", "block", "side", "id", "sure", "n_shingles", "bits")
     sorted_rows = dealt.repartition(partitions(members.sparkSession), "component", "block").sortWithinPartitions("component", "block")
-    found = components(sorted_rows.mapInArrow(run, f"u {name}, v {name}"))
-    apart = some.join(found.select(F.col("node").alias("id"), F.col("component").alias("_to")), "id").withColumn("component", F.xxhash64("component", "_to"))
-    return whole.unionByName(apart.select(*members.columns))
+    passed = written(sorted_rows.mapInArrow(run, f"id {name}, u {name}, v {name}"), "passed")
+    found = components(passed.select("u", "v"))
+    ends = some.join(passed.select("id").distinct(), "id")
+    apart = ends.join(found.select(F.col("node").alias("sure"), F.col("component").alias("_to")), "sure").withColumn("component", F.xxhash64("component", "_to"))
+    return whole.unionByName(apart.select(*columns)), sure
 
 
 def verify(rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (u, v) of rows (id, component, block, side, text), which come sorted by component and block."""
+    """Links (u, v) of rows (id, component, block, side, sure, text), as many as connect what is linked beside documents of the same `sure`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, found, sides = None, [], [], []
+        key, ids, found, sides, sure = None, [], [], [], []
 
         def done() -> Iterator[pa.RecordBatch]:
             if len(ids) > 1:
-                got = links(found, np.array([len(x) for x in found]), np.array(sides) if key[1] != "all" and max(sides) >= 0 else None, percent)
+                got = links(found, np.array([len(x) for x in found]), np.array(sides) if key[1] != "all" and max(sides) >= 0 else None, percent, sure)
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in got], kind), pa.array([ids[j] for _, j in got], kind)], names=["u", "v"])
 
         for batch in batches:
-            for i, component, block, side, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for i, component, block, side, group, text in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 if (component, block) != key:
                     yield from done()
-                    key, ids, found, sides = (component, block), [], [], []
+                    key, ids, found, sides, sure = (component, block), [], [], [], []
                 ids.append(i)
                 sides.append(side)
+                sure.append(group)
                 found.append(grams(text, n))
         yield from done()
 
@@ -432,7 +501,7 @@ def verify(rows: DataFrame, n: int, percent: int) -> DataFrame:
 
     kind = to_arrow_type(rows.schema["id"].dataType)
     name = rows.schema["id"].dataType.simpleString()
-    dealt = rows.select("id", "component", "block", "side", "text").repartition(partitions(rows.sparkSession), "component", "block").sortWithinPartitions("component", "block")
+    dealt = rows.select("id", "component", "block", "side", "sure", "text").repartition(partitions(rows.sparkSession), "component", "block").sortWithinPartitions("component", "block")
     return dealt.mapInArrow(run, f"u {name}, v {name}")
 
 
@@ -451,10 +520,12 @@ def jaccard_components(df: DataFrame, n: int = 4, percent: int = 85, id_col: str
     near = components(candidate_edges(docs, n, percent, "text"))
     equal = full.groupBy("a", "b").agg(F.min("id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
     members = written(equal.join(near.withColumnRenamed("node", "a"), "a").filter("first IS NOT NULL").select(F.col("first").alias("id"), "component", "n_shingles", "bits"), "members")
-    members = written(refined(members, percent), "refined")
+    members, sure = refined(members, docs, n, percent)
+    members = written(members, "refined")
     # Sort-merge at every size: a broadcast would be chosen for small inputs only, and members grow with the input.
     texts = docs.join(blocks(members, percent).hint("merge"), "id")
-    linked = components(verify(texts, n, percent))
+    found = verify(texts, n, percent)
+    linked = components(found if sure is None else found.unionByName(sure.select(F.col("component").alias("u"), F.col("node").alias("v"))))
     joined = written(equal.join(linked.withColumnRenamed("node", "first"), "first", "left").select("a", "b", F.coalesce("component", "first").alias("component_id")), "joined")  # so that the next join can be split at a class of many copies
     sure = full.join(joined, ["a", "b"]).select(F.col("id").alias(id_col), "n_shingles", "component_id")
     return sure.unionByName(known.filter("n_shingles = 0").select(F.col("id").alias(id_col), "n_shingles", F.col("id").alias("component_id")))

@@ -155,3 +155,32 @@ def test_copies_of_one_id(spark):
 
     rows = spark.createDataFrame([(5, "a"), (5, "b"), (7, "A"), (7, "A")], "doc_id long, text string")
     assert sorted(map(tuple, drop_copies(rows, keep="largest").collect())) == [(5, "b"), (7, "A"), (7, "A")]
+
+
+def test_a_family_is_joined_in_steps_that_follow_its_size(monkeypatch):
+    rng = random.Random(3)
+    base = [rng.randrange(2**60) for _ in range(200)]
+    plain, counts = np.searchsorted, []
+    for n in (300, 600):
+        found = [np.array(sorted({x for x in base if rng.random() < 0.98} | {rng.randrange(2**60)}), np.uint64) for _ in range(n)]
+        looks = []
+        monkeypatch.setattr(ngram_join.np, "searchsorted", lambda *a, looks=looks, **b: looks.append(1) or plain(*a, **b))
+        assert len(ngram_join.links(found, np.array([len(x) for x in found]), None, 80)) == n - 1
+        counts.append(len(looks))  # one for each node of the tree that is looked at
+    assert counts[1] < 2.5 * counts[0]
+
+
+def test_known_links_are_not_looked_for():
+    found = [np.arange(i, i + 100, dtype=np.uint64) for i in (0, 1, 2, 3)]
+    assert ngram_join.links(found, np.array([100] * 4), None, 85, ["a", "a", "a", "a"]) == []
+    assert len(ngram_join.links(found, np.array([100] * 4), None, 85, ["a", "b", "a", "b"])) == 1
+
+
+@pytest.mark.parametrize(("seed", "chosen"), [(11, 1), (12, 3)])
+def test_groups_of_large_components(spark, monkeypatch, seed, chosen):
+    texts = corpus(seed, families=8, most=40)
+    want, _ = brute(texts, 80, 5)
+    monkeypatch.setattr(ngram_join, "DOCS", 5)
+    monkeypatch.setattr(ngram_join, "REPRESENTATIVES", chosen)
+    got = ngram_join.jaccard_components(frame(spark, texts), 5, 80).collect()
+    assert sorted(tuple(r) for r in got) == want
