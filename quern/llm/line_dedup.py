@@ -38,7 +38,7 @@ def bin_of(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - BINS)
 
 
-def rarities(texts: DataFrame) -> list[int]:
+def rarities(texts: DataFrame) -> bytes:
     """Of each bin of words the `code` of how often they occur in all texts: never less than that of one of its words.
 
     The counts are one row of a count-min sketch, which tasks fill each by itself and which are added up as
@@ -50,22 +50,34 @@ def rarities(texts: DataFrame) -> list[int]:
     if depth != 1 or len(sketch) != 28 + 8 * width:
         raise RuntimeError("the sketch isn't one row of counts")
     (factor,) = unpack_from(">q", sketch, 20)
-    counts = [code(n) for (n,) in iter_unpack(">q", memoryview(sketch)[28:])]
+    counts = bytes(code(n) for (n,) in iter_unpack(">q", memoryview(sketch)[28:]))
 
     def place(b: int) -> int:
         product = (factor * b + (1 << 63)) % (1 << 64) - (1 << 63)  # as longs overflow
         return ((product + (product >> 32)) & 0x7FFFFFFF) % width
 
-    return [counts[place(b)] for b in range(1 << BINS)]
+    return bytes(counts[place(b)] for b in range(1 << BINS))
+
+
+def written_lean(df: DataFrame, what: str) -> DataFrame:
+    """`written`, after which the driver gives up what it no longer needs: the plan holds the table of rarities as text, several times."""
+    out = written(df, what)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def may_have(keys: DataFrame, key: Column, own: Column) -> Column:
-    """A predicate on `own`: true for all that some row of keys has as its `key`, and for a few others, by a table of bits."""
+    """A predicate on `own`: true for all that some row of keys has as its `key`, and for a few others, by a table of bits.
+
+    The table is a scalar subquery and not a literal, which the driver would hold as text, a megabyte or more for each time that a plan is told.
+    """
     rest = 64 - BITS
-    bins = keys.select(F.shiftrightunsigned(key, rest - 6).alias("h")).groupBy(F.shiftrightunsigned("h", 6).cast("int").alias("bin"))
-    got = {r["bin"]: r["bits"] for r in bins.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))).alias("bits")).collect()}  # 2**BITS rows at most
-    bits = longs([got.get(i, 0) % (1 << 64) for i in range(1 << BITS)])
-    return F.call_function("getbit", bits[F.shiftrightunsigned(own, rest)], F.shiftrightunsigned(own, rest - 6).bitwiseAND(63).cast("int")) == 1
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
+    bins = keys.select(F.shiftrightunsigned(key, rest - 6).alias("h")).select(F.shiftrightunsigned("h", 6).cast("int").alias("bin"), one.alias("bits"))
+    each = bins.unionByName(keys.sparkSession.range(1 << BITS).select(F.col("id").cast("int").alias("bin"), F.lit(0).cast("long").alias("bits")))
+    each = each.groupBy("bin").agg(F.bit_or("bits").alias("bits"))  # 2**BITS rows
+    bits = written(each.agg(F.sort_array(F.collect_list(F.struct("bin", "bits"))).alias("a")).select(F.col("a.bits").alias("bits")), "bits").scalar()
+    return F.call_function("getbit", bits[F.shiftrightunsigned(own, rest).cast("int")], F.shiftrightunsigned(own, rest - 6).bitwiseAND(63).cast("int")) == 1
 
 
 def can_match(n: Column, m: Column, parity: Column, other: Column, percent: int) -> Column:
@@ -117,7 +129,7 @@ def removed_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     # A filter on the tokens would be pushed below and compute them twice.
     sets = split.filter(F.col("text").rlike(r"[^ \t\r]")).select("id", "line", ordered(F.col("text")).alias("tokens"))
     names = (F.xxhash64("tokens").alias("class"), F.xxhash64(F.lit(1), "tokens").alias("class_2"))
-    lines = written(sets.select("id", "line", *names, n.alias("n"), parity.alias("parity"), prefix.alias("prefix")), "lines")
+    lines = written_lean(sets.select("id", "line", *names, n.alias("n"), parity.alias("parity"), prefix.alias("prefix")), "lines")
     place = F.struct(F.col("id").isNotNull().alias("has"), "id", "line")
     grouped = lines.groupBy("class", "class_2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
     classes = written(grouped.select("class", "class_2", "copies", F.col("first.id").alias("id"), F.col("first.line").alias("line"), "n", "parity", "prefix"), "classes")
@@ -134,7 +146,7 @@ def removed_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text
         wanted = written(pairs.select(F.explode(F.array(F.struct("id", "line"), F.struct("early.id", "early.line"))).alias("x")).select(F.col("x.id").alias("to_id"), F.col("x.line").alias("to_line")).distinct(), "wanted")
         some = docs.filter(may_have(wanted, F.xxhash64("to_id"), F.xxhash64("id")))
         found = some.select("id", F.posexplode(F.split("text", "\n")).alias("line", "text")).filter(may_have(wanted, F.xxhash64("to_id", "to_line"), F.xxhash64("id", "line")))
-        read = written(found.join(wanted.hint("merge"), told).select("to_id", "to_line", ordered(F.col("text")).alias("tokens")), "tokens")
+        read = written_lean(found.join(wanted.hint("merge"), told).select("to_id", "to_line", ordered(F.col("text")).alias("tokens")), "tokens")
 
         def verified(chosen: DataFrame) -> DataFrame:
             mine = chosen.join(read, told).select("id", "line", "early", F.col("tokens").alias("own"))

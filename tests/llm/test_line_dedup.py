@@ -85,3 +85,16 @@ def test_clashing_names(spark):
     rows = spark.createDataFrame([(1, "a b c d e", 0, 1, 2), (2, "a b c d e\nf", 3, 4, 5)], "doc_id long, text string, _id int, id int, gone int")
     got = line_dedup.without_lines(rows)
     assert got.columns == rows.columns and {tuple(r) for r in got.collect()} == {(1, "a b c d e", 0, 1, 2), (2, "f", 3, 4, 5)}
+
+
+def test_the_table_of_bits_isnt_text_in_the_plan(spark):
+    from pyspark.sql import functions as F
+
+    keys = spark.range(0, 5000, 7).withColumn("h", F.xxhash64("id"))
+    own = spark.range(5000).withColumn("own", F.xxhash64("id"))
+    some = own.filter(line_dedup.may_have(keys, F.col("h"), F.col("own")))
+    assert {7 * i for i in range(715)} <= {r["id"] for r in some.collect()}
+    assert some.count() < 800
+    nothing = own.filter(line_dedup.may_have(keys.limit(0), F.col("h"), F.col("own")))
+    assert nothing.count() == 0
+    assert len(some._jdf.queryExecution().toString()) < 20_000
