@@ -19,6 +19,8 @@ from quern.llm.packed import packed_counts, packed_keys, ranges, runs, unpacked_
 DISCOUNT, MOST = 0.75, 0.95
 #: The triples of the model are those whose two pairs both occur so often in training, and the weight of the failure arc of a state of two words.
 LEAST, FAILURE = 2, 0.4
+#: Counts of a word from which it is asked how many distinct words follow it: one of a lesser count begins as many pairs as it is counted, as every word has a token after it and the end that comes before a text's first word is counted once a text.
+LEAST_FANS = 2
 #: Bytes of text from which a part is full. A longer text is a part of its own.
 PART = 8 << 20
 #: Tokens that one lane walks.
@@ -235,7 +237,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     so no word or pair is hot: each part sends it once. The tasks of the ranges add up the counts and
     answer each part in its own order. With these a part asks likewise for its triples, as far as both their pairs
     occur LEAST times in training (others aren't in the model), and for how many distinct words follow each of
-    its words. Then it builds the automaton that its texts can follow.
+    its words that is counted LEAST_FANS times. Then it builds the automaton that its texts can follow.
     """
     import zstandard
     from pyspark import TaskContext
@@ -306,8 +308,9 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
     def ask_more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, part, got in met(batches):
-            fans = part.fans(got[PAIRS])
-            yield asks(number, spread, FANS, part.keys[WORDS], lambda c, fans=fans: fans[c].astype("<f8").tobytes())
+            often = got[WORDS] >= LEAST_FANS
+            fans = part.fans(got[PAIRS])[often]
+            yield asks(number, spread, FANS, part.keys[WORDS][often], lambda c, fans=fans: fans[c].astype("<f8").tobytes())
             part.find_triples(got[PAIRS])
             counts = part.counts(TRIPLES)
             yield asks(number, spread, TRIPLES, part.keys[TRIPLES], lambda c, counts=counts: packed_counts(counts[c]))
@@ -318,7 +321,9 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         for _, part, got in met(batches):
             part.find_triples(got[PAIRS])
             words = got[WORDS]
-            model = Automaton(part, words, got[PAIRS], got.get(TRIPLES, np.zeros(0, np.int64)), got[FANS], rule)
+            fans = words.copy()
+            fans[words >= LEAST_FANS] = got.get(FANS, np.zeros(0, np.int64))
+            model = Automaton(part, words, got[PAIRS], got.get(TRIPLES, np.zeros(0, np.int64)), fans, rule)
             base = np.log10((words + 0.1) / (rule.total + 0.1 * (rule.distinct + 1)))[part.at[WORDS]]
             known = (words > 0).astype(np.int64)[part.at[WORDS]]
             columns = [pa.array(part.ids, kind_of_id), pa.array(part.held.tolist()), pa.array(part.sizes, pa.int64()), pa.array(np.add.reduceat(known, part.starts)), pa.array([rule.total] * len(part.ids), pa.int64()), pa.array(np.add.reduceat(base, part.starts)), pa.array(model.scores())]

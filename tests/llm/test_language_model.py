@@ -153,3 +153,14 @@ def test_packing_of_keys_and_counts():
         assert (packed.unpacked_counts(packed.packed_counts(counts), len(keys)) == counts).all()
         owners = rng.integers(-(2**62), 2**62, 7)[rng.integers(0, 7, len(keys))]
         assert (packed.unpacked_owners(packed.packed_owners(owners)) == owners).all()
+
+
+def test_followers_are_asked_of_repeated_words_only(spark, monkeypatch):
+    tables = {}
+    write = lm.written
+    monkeypatch.setattr(lm, "written", lambda df, what: tables.setdefault(what, write(df, what)))
+    rows = [(i, f"w{i} w{i} once{i} the thing") for i in range(40)]
+    got = lm.score(spark.createDataFrame([(i, t, "i", 1) for i, t in rows], SCHEMA).repartition(1))
+    same(got.collect(), brute(rows))
+    asked = tables["more"].filter(f"kind = {lm.FANS} AND part >= 0").agg({"n": "sum"}).first()[0]
+    assert asked == len([w for w, n in Model(rows).c.items() if n >= lm.LEAST_FANS])
