@@ -520,6 +520,8 @@ def jaccard_components(df: DataFrame, n: int = 4, percent: int = 85, id_col: str
     near = components(candidate_edges(docs, n, percent, "text"))
     equal = full.groupBy("a", "b").agg(F.min("id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
     members = written(equal.join(near.withColumnRenamed("node", "a"), "a").filter("first IS NOT NULL").select(F.col("first").alias("id"), "component", "n_shingles", "bits"), "members")
+    # The texts of all documents are shuffled once; what follows reads those of the candidates alone.
+    docs = written(docs.join(members.select("id").hint("merge"), "id", "left_semi"), "texts")
     members, sure = refined(members, docs, n, percent)
     members = written(members, "refined")
     # Sort-merge at every size: a broadcast would be chosen for small inputs only, and members grow with the input.

@@ -184,3 +184,14 @@ def test_groups_of_large_components(spark, monkeypatch, seed, chosen):
     monkeypatch.setattr(ngram_join, "REPRESENTATIVES", chosen)
     got = ngram_join.jaccard_components(frame(spark, texts), 5, 80).collect()
     assert sorted(tuple(r) for r in got) == want
+
+
+def test_only_texts_of_candidates_go_on(spark, monkeypatch):
+    tables = {}
+    write = ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, what: tables.setdefault(what, write(df, what)))
+    texts = [" ".join(f"a{i}b{k}" for k in range(60)) for i in range(30)]
+    texts += [texts[0] + " more", texts[1] + " more", None, ""]
+    got = ngram_join.jaccard_components(frame(spark, texts)).collect()
+    assert sorted(tuple(r) for r in got) == brute(texts)[0]
+    assert {r["id"] for r in tables["texts"].select("id").collect()} == {0, 1, 30, 31}
