@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import math
-from struct import iter_unpack, unpack_from
+from struct import unpack_from
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm.common import fresh, text_or_empty, written
@@ -14,15 +15,12 @@ from quern.llm.common import fresh, text_or_empty, written
 BINS, BITS = 20, 16
 #: A token of more lines than this is hot: its lines are compared with the first of them before they are with each other.
 HOT = 4096
+#: Lines of so many tokens have parities of 128 bits, others of 64: those of more tokens say less.
+LONG = 80
 #: Bits of a token's number that its hash takes; those above are its rarity.
 HASH = 56
 
 
-def longs(values: list[int]) -> Column:
-    """One folded literal of unsigned 64-bit numbers as an array of longs."""
-    return F.split(F.lit(",".join(str(v - (v >> 63 << 64)) for v in values)), ",").cast("array<bigint>")
-
-
 def words(line: Column) -> Column:
     """Runs without spaces, tabs and carriage returns, and "" for each additional one of these."""
     plain = F.when(F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")), F.translate(line, "\t\r", "  ")).otherwise(line)
@@ -31,7 +29,7 @@ def words(line: Column) -> Column:
 
 def code(n: int) -> int:
     """A count by its logarithm, in 4 bits; 0 for a word that occurs once at most."""
-    return 0 if n < 2 else min(15, 1 + int(math.log2(n / 2)))
+    return min(15, max(0, int(n).bit_length() - 1))
 
 
 def bin_of(h: Column) -> Column:
@@ -50,26 +48,25 @@ def rarities(texts: DataFrame) -> bytes:
     if depth != 1 or len(sketch) != 28 + 8 * width:
         raise RuntimeError("the sketch isn't one row of counts")
     (factor,) = unpack_from(">q", sketch, 20)
-    counts = bytes(code(n) for (n,) in iter_unpack(">q", memoryview(sketch)[28:]))
-
-    def place(b: int) -> int:
-        product = (factor * b + (1 << 63)) % (1 << 64) - (1 << 63)  # as longs overflow
-        return ((product + (product >> 32)) & 0x7FFFFFFF) % width
+    counts = np.frombuffer(sketch, ">i8", offset=28)
+    codes = sum((counts >= 1 << c).astype(np.uint8) for c in range(1, 16))  # `code` of each
+    product = np.arange(1 << BINS, dtype=np.int64) * np.int64(factor)  # longs overflow
+    return codes[((product + (product >> 32)) & 0x7FFFFFFF) % width].tobytes()
 
-    return bytes(counts[place(b)] for b in range(1 << BINS))
 
+def rarity_of_bins(spark: SparkSession, counted: bytes) -> Column:
+    """`rarities` as an array of bytes.
 
-def written_lean(df: DataFrame, what: str) -> DataFrame:
-    """`written`, after which the driver gives up what it no longer needs: the plan holds the table of rarities as text, several times."""
-    out = written(df, what)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    It is a scalar subquery and not a literal, which the driver would hold as text, a megabyte or more for each time that a plan is told.
+    """
+    letters = spark.createDataFrame([(counted.translate(bytes(range(97, 113)) + bytes(240)).decode(),)], "codes string")
+    return written(letters.select(F.transform(F.split("codes", ""), lambda c: (F.ascii(c) - 97).cast("tinyint")).alias("codes")), "rarity").scalar()
 
 
 def may_have(keys: DataFrame, key: Column, own: Column) -> Column:
     """A predicate on `own`: true for all that some row of keys has as its `key`, and for a few others, by a table of bits.
 
-    The table is a scalar subquery and not a literal, which the driver would hold as text, a megabyte or more for each time that a plan is told.
+    The table is a scalar subquery, as that of rarities.
     """
     rest = 64 - BITS
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
@@ -80,9 +77,13 @@ def may_have(keys: DataFrame, key: Column, own: Column) -> Column:
     return F.call_function("getbit", bits[F.shiftrightunsigned(own, rest).cast("int")], F.shiftrightunsigned(own, rest - 6).bitwiseAND(63).cast("int")) == 1
 
 
-def can_match(n: Column, m: Column, parity: Column, other: Column, percent: int) -> Column:
-    """Length filter, and the most tokens that may differ, which bound the bits in which the parities of two sets differ."""
-    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (F.bit_count(parity.bitwiseXOR(other)) * (100 + percent) <= (n + m) * (100 - percent))
+def can_match(a: dict[str, Column], b: dict[str, Column], percent: int) -> Column:
+    """Of two sets, each given by n, parity and parity_2: the most tokens that may differ, which bound the bits in which their parities differ, and the length filter."""
+    n, m = a["n"], b["n"]
+    first, second = a["parity"].bitwiseXOR(b["parity"]), a["parity_2"].bitwiseXOR(b["parity_2"])
+    few = lambda bits: bits * (100 + percent) <= (n + m) * (100 - percent)
+    both = few(F.bit_count(first.bitwiseXOR(second))) & ((F.least(n, m) < LONG) | few(F.bit_count(first) + F.bit_count(second)))
+    return both & (n * 100 >= m * percent) & (m * 100 >= n * percent)
 
 
 def removed_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,88 +101,99 @@ def removed_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     counted twice, and pass the length, positional and parity filters. Pairs that pass are verified on their
     tokens, read again from their first lines; the later of two that match goes.
 
-    A token of many lines would make many pairs. So hot tokens first compare each of their lines with the
-    first of them, which decides most of a large group of variants; two lines that are both decided aren't
-    compared again.
+    The lines of a large group of variants would make pairs with the square of its size. So each line is first
+    compared with the first of all lines that share a sign with it: the least and the greatest hash of its prefix,
+    and hot tokens. That decides nearly all of such a group, and a line that is decided is
+    compared with no earlier one again.
     """
     docs = df.select(F.col(id_col).alias("id"), F.lower(text_or_empty(text_col)).alias("text"))
     split = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    counted = rarities(docs)
-    rarity = longs([sum(c << 4 * i for i, c in enumerate(counted[k : k + 16])) for k in range(0, len(counted), 16)])
+    rarity = rarity_of_bins(df.sparkSession, rarities(docs))
 
     def key(h: Column) -> Column:
-        """The four bits of its bin, above those of the hash."""
-        place = F.shiftrightunsigned(h, 62 - BINS).bitwiseAND(60).cast("int")
-        code_of = F.call_function("shiftrightunsigned", rarity[F.shiftrightunsigned(h, 68 - BINS)], place).bitwiseAND(15)
-        return F.coalesce(F.shiftleft(code_of, HASH).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH)), F.lit(0).cast("long"))  # never null, so that arrays are sorted as primitive ones
+        """The rarity of its bin, above the bits of the hash. Never null, so that arrays are sorted as primitive ones."""
+        return F.coalesce(F.shiftleft(F.col("rarity")[bin_of(h)].cast("long"), HASH).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH)), F.lit(0).cast("long"))
 
-    def ordered(line: Column) -> Column:
-        """The tokens as numbers whose order is that of rarity."""
-        numbers = F.transform(F.transform(words(line), lambda w: F.xxhash64(w)), key)
-        return F.array_remove(F.sort_array(F.array_distinct(numbers)), key(F.xxhash64(F.lit(""))))
+    def ordered(lines: DataFrame) -> DataFrame:
+        """Lines with their tokens, instead of their text, as numbers whose order is that of rarity."""
+        hashes = F.array_remove(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+        # No function of arrays may have a subquery of its own.
+        return lines.withColumn("rarity", rarity).select(*(c for c in lines.columns if c != "text"), F.sort_array(F.array_distinct(F.transform(hashes, key))).alias("tokens"))
 
     n = F.size("tokens")
-    parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
+    bit = lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int")))
+    nothing = F.lit(0).cast("long")
+    # Tokens whose seventh bit is set are counted in the second half, so both together are the parity of 64 bits.
+    second = F.when(n >= LONG, F.aggregate(F.filter("tokens", lambda t: t.bitwiseAND(64) != 0), nothing, bit)).otherwise(nothing)
     once, hot = (F.lit(x << HASH).cast("long") for x in (1, code(HOT)))
     # 31 bits, as an accident makes a candidate and no match, and one that says whether the token is hot; 0 for one that no other line has.
     token = lambda t: F.when(t < once, 0).otherwise(F.hash(t).bitwiseOR(1).bitwiseXOR((t < hot).cast("int")))
     prefix = F.transform(F.slice("tokens", F.lit(1), n - F.ceil(n * F.lit(percent) / F.lit(100)).cast("int") + 1), token)
     # A filter on the tokens would be pushed below and compute them twice.
-    sets = split.filter(F.col("text").rlike(r"[^ \t\r]")).select("id", "line", ordered(F.col("text")).alias("tokens"))
+    sets = ordered(split.filter(F.col("text").rlike(r"[^ \t\r]")))
     names = (F.xxhash64("tokens").alias("class"), F.xxhash64(F.lit(1), "tokens").alias("class_2"))
-    lines = written_lean(sets.select("id", "line", *names, n.alias("n"), parity.alias("parity"), prefix.alias("prefix")), "lines")
-    place = F.struct(F.col("id").isNotNull().alias("has"), "id", "line")
-    grouped = lines.groupBy("class", "class_2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
-    classes = written(grouped.select("class", "class_2", "copies", F.col("first.id").alias("id"), F.col("first.line").alias("line"), "n", "parity", "prefix"), "classes")
+    halves = sets.select("id", "line", *names, n.alias("n"), F.aggregate("tokens", nothing, bit).alias("parity"), second.alias("parity_2"), prefix.alias("prefix"))
+    lines = written(halves.withColumn("parity", F.col("parity").bitwiseXOR(F.col("parity_2"))), "lines")
     told = [F.col("id").eqNullSafe(F.col("to_id")), F.col("line") == F.col("to_line")]
+    place = F.struct(F.col("id").isNotNull().alias("has"), "id", "line")
+    of = lambda x: {c: F.col(f"{x}.{c}") for c in ("n", "parity", "parity_2")}
 
-    def matched(pairs: DataFrame) -> DataFrame | None:
-        """The later lines (id, line) of pairs (id, line, early) whose tokens match; None without pairs.
+    def matched(pairs: DataFrame, in_turn: bool) -> DataFrame | None:
+        """The classes (class, class_2, id, line) of the later lines of pairs (id, line, early) whose tokens match; None without pairs.
 
-        Each is first compared with the earliest of its partners, the others are left for those that it doesn't match.
+        In turn: each is first compared with the earliest of its partners, the others are left for those that it doesn't match.
         """
-        pairs = written(pairs.distinct(), "pairs")
+        pairs = written(pairs, "pairs")
         if pairs.isEmpty():
             return None
-        wanted = written(pairs.select(F.explode(F.array(F.struct("id", "line"), F.struct("early.id", "early.line"))).alias("x")).select(F.col("x.id").alias("to_id"), F.col("x.line").alias("to_line")).distinct(), "wanted")
+        wanted = written(pairs.select("id", "line").unionByName(pairs.select("early.id", "early.line")).distinct().toDF("to_id", "to_line"), "wanted")
         some = docs.filter(may_have(wanted, F.xxhash64("to_id"), F.xxhash64("id")))
         found = some.select("id", F.posexplode(F.split("text", "\n")).alias("line", "text")).filter(may_have(wanted, F.xxhash64("to_id", "to_line"), F.xxhash64("id", "line")))
-        read = written_lean(found.join(wanted.hint("merge"), told).select("to_id", "to_line", ordered(F.col("text")).alias("tokens")), "tokens")
+        read = written(ordered(found.join(wanted.hint("merge"), told).select("to_id", "to_line", "text")), "tokens")
 
         def verified(chosen: DataFrame) -> DataFrame:
             mine = chosen.join(read, told).select("id", "line", "early", F.col("tokens").alias("own"))
             both = mine.join(read, [F.col("early.id").eqNullSafe(F.col("to_id")), F.col("early.line") == F.col("to_line")])
-            return both.filter(F.size(F.array_intersect("own", "tokens")) * (100 + percent) >= (F.size("own") + F.size("tokens")) * percent).select("id", "line").distinct()
+            both = both.filter(F.size(F.array_intersect("own", "tokens")) * (100 + percent) >= (F.size("own") + F.size("tokens")) * percent)
+            return both.select(F.xxhash64("own").alias("class"), F.xxhash64(F.lit(1), "own").alias("class_2"), "id", "line").distinct()
 
+        if not in_turn:
+            return written(verified(pairs), "sure")
         sure = written(verified(pairs.groupBy("id", "line").agg(F.min("early").alias("early"))), "sure")
         rest = pairs.join(sure.select(F.col("id").alias("to_id"), F.col("line").alias("to_line")), told, "left_anti")
         return sure.unionByName(verified(rest)).distinct()
 
     early = lambda x: F.struct(F.col(f"{x}.id").isNotNull().alias("has"), F.col(f"{x}.id").alias("id"), F.col(f"{x}.line").alias("line")).alias("early")
-    rows = classes.filter(F.element_at("prefix", -1).bitwiseAND(1) == 1)  # the most frequent token of the prefix is its last
-    rows = rows.select("id", "line", "n", "parity", F.explode("prefix").alias("token")).filter(F.col("token").bitwiseAND(1) == 1)
-    leads = rows.groupBy("token").agg(F.min(F.struct(F.col("id").isNotNull().alias("has"), "id", "line", "n", "parity")).alias("lead"))
-    led = rows.join(leads, "token").filter(~(F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("line") == F.col("lead.line"))) & can_match(F.col("n"), F.col("lead.n"), F.col("parity"), F.col("lead.parity"), percent))
-    found = matched(led.select("id", "line", early("lead")))
-    decided = None if found is None else written(found.select(F.col("id").alias("to_id"), F.col("line").alias("to_line")), "decided")
-
-    known = classes.select("id", "line", "n", "parity", "prefix", F.lit(0).alias("gone")) if decided is None else classes.join(decided.withColumn("gone", F.lit(1)), told, "left").select("id", "line", "n", "parity", "prefix", F.coalesce("gone", F.lit(0)).alias("gone"))
+    live = F.array_remove("prefix", 0)
+    is_hot = lambda t: t.bitwiseAND(1) == 1
+    hot_ones = F.when(is_hot(F.element_at("prefix", -1)), F.filter(live, is_hot)).otherwise(F.array().cast("array<int>"))  # the most frequent token of the prefix is its last
+    signs = F.array_distinct(F.concat(F.array(F.array_min(live), F.array_max(live)), hot_ones))
+    own = ("id", "line", "class", "n", "parity", "parity_2")
+    rows = lines.filter(F.size(live) > 0).select(F.explode(signs).alias("sign"), *own).alias("own")
+    led = rows.withColumn("lead", F.first(F.struct(*own)).over(W.partitionBy("sign").orderBy("id", "line"))).filter((F.col("class") != F.col("lead.class")) & can_match(of("own"), of("lead"), percent))
+    led = led.groupBy("class", early("lead")).agg(F.min(place).alias("place"))  # all lines of a class have its signs, so this is its first
+    decided = matched(led.select("place.id", "place.line", "early"), in_turn=False)
+
+    grouped = lines.groupBy("class", "class_2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("n", "parity", "parity_2", "prefix")))
+    grouped = grouped.withColumn("gone", F.lit(0)) if decided is None else grouped.join(decided.select("class", "class_2").distinct().withColumn("gone", F.lit(1)), ["class", "class_2"], "left")
+    classes = written(grouped.select("class", "class_2", "copies", F.col("first.id").alias("id"), F.col("first.line").alias("line"), "n", "parity", "parity_2", "prefix", F.coalesce("gone", F.lit(0)).alias("gone")), "classes")
     # The size, whether it is decided, and the place in one long, so that rows are narrow.
     packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("gone").cast("long"), 31)).bitwiseOR(F.col("at").cast("long"))
-    rows = known.select("id", "line", "n", "parity", "gone", F.posexplode("prefix").alias("at", "token")).filter("token <> 0").select("token", "id", "line", "parity", packed.alias("size_at"))
+    rows = classes.select("id", "line", "n", "parity", "parity_2", "gone", F.posexplode("prefix").alias("at", "token")).filter("token <> 0").select("token", "id", "line", "parity", "parity_2", packed.alias("size_at"))
     a, b = rows.alias("a"), rows.alias("b")
     size, at = ({x: f(F.col(f"{x}.size_at")) for x in "ab"} for f in (lambda c: F.shiftright(c, 32), lambda c: c.bitwiseAND((1 << 31) - 1)))
     before = (F.col("a.id") < F.col("b.id")) | (F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.line") < F.col("b.line"))) | (F.col("a.id").isNull() & F.col("b.id").isNotNull())
     positional = F.least(size["a"] - at["a"], size["b"] - at["b"]) * (100 + percent) >= (size["a"] + size["b"]) * percent
     undecided = F.shiftright(F.col("b.size_at"), 31).bitwiseAND(1) <= F.col("a.size_at").bitwiseAND(0)
-    # All conditions are of both sides (the last one for that reason alone), so that both read one exchange, whose large partitions may be split.
-    fits = before & can_match(size["a"], size["b"], F.col("a.parity"), F.col("b.parity"), percent) & positional & undecided
-    found = matched(a.join(b, (F.col("a.token") == F.col("b.token")) & fits).select(F.col("b.id").alias("id"), F.col("b.line").alias("line"), early("a")))
-    gone = classes.select("id", "line").limit(0) if found is None else found
-    gone = gone if decided is None else gone.unionByName(decided.toDF("id", "line")).distinct()
-    similar = classes.join(gone.select(F.col("id").alias("to_id"), F.col("line").alias("to_line"), F.lit(True).alias("similar")), told, "left").filter("similar OR copies > 1")
+    # All conditions are of both sides (the first one for that reason alone), so that both read one exchange, whose large partitions may be split.
+    fits = undecided & can_match(*(of(x) | {"n": size[x]} for x in "ab"), percent) & positional & before
+    found = matched(a.join(b, (F.col("a.token") == F.col("b.token")) & fits).select(F.col("b.id").alias("id"), F.col("b.line").alias("line"), early("a")).distinct(), in_turn=True)
+    firsts = classes.filter("copies > 1").select("class", "class_2", "id", "line", F.lit(False).alias("similar"))
+    for gone in (decided, found):
+        firsts = firsts if gone is None else firsts.unionByName(gone.withColumn("similar", F.lit(True)))
+    firsts = firsts.groupBy("class", "class_2").agg(F.first("id").alias("first_id"), F.first("line").alias("first_line"), F.bool_or("similar").alias("similar"))
     # As a table the next join can be split at a class of many copies.
-    firsts = written(similar.select("class", "class_2", F.col("id").alias("first_id"), F.col("line").alias("first_line"), "similar"), "told")
+    firsts = written(firsts, "told")
     each = lines.select("class", "class_2", "id", "line").join(firsts, ["class", "class_2"]).withColumn("equal", ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("line") == F.col("first_line"))))
     return each.filter("equal OR similar").select(F.col("id").alias(id_col), "line", "equal")
 

@@ -98,3 +98,41 @@ def test_the_table_of_bits_isnt_text_in_the_plan(spark):
     nothing = own.filter(line_dedup.may_have(keys.limit(0), F.col("h"), F.col("own")))
     assert nothing.count() == 0
     assert len(some._jdf.queryExecution().toString()) < 20_000
+
+
+def pairs_compared(spark, monkeypatch, rows):
+    """How many pairs are verified, and the longest plan of a table that is written."""
+    seen = {"pairs": 0, "plan": 0}
+
+    def spied(df, what, real=line_dedup.written):
+        seen["plan"] = max(seen["plan"], len(df._jdf.queryExecution().toString()))
+        out = real(df, what)
+        seen["pairs"] += out.count() if what == "pairs" else 0
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", spied)
+    got = sorted((tuple(r) for r in line_dedup.removed_lines(frame(spark, rows)).collect()), key=str)
+    assert got == brute(rows)
+    return seen
+
+
+def test_pairs_of_a_family_grow_with_its_size(spark, monkeypatch):
+    rng = random.Random(4)
+    base = ["b%d" % i for i in range(60)]
+    rows = []
+    for i in range(80):
+        words = list(base)
+        for _ in range(2):
+            words[rng.randrange(60)] = "own%d" % rng.randrange(10**6)
+        rows.append((i, " ".join(words)))
+    seen = pairs_compared(spark, monkeypatch, rows)
+    assert seen["pairs"] < 8 * len(rows)  # of 3,160
+    assert seen["plan"] < 200_000  # neither holds a plan the table of rarities
+
+
+def test_long_lines_that_share_words_are_seldom_compared(spark, monkeypatch):
+    rng = random.Random(5)
+    vocabulary = ["w%d" % i for i in range(700)]
+    rows = [(i, " ".join(rng.sample(vocabulary, 130))) for i in range(60)]
+    rows.append((60, " ".join(rows[7][1].split(" ")[:-6])))
+    assert 0 < pairs_compared(spark, monkeypatch, rows)["pairs"] < 10
