@@ -10,8 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm.common import fresh, text_or_empty, written
+from quern.sources.scratch import delete
 
-#: Binary logarithms of the sizes of two tables that go to each task, whatever the corpus: the bins in which words are counted (four bits each), and longs of bits for what to read again.
+#: Binary logarithms of the sizes of two tables that go to each task, whatever the corpus: the bins in which words are counted, and longs of bits for what to read again.
 BINS, BITS = 20, 16
 #: A token of more lines than this is hot: its lines are compared with the first of them before they are with each other.
 HOT = 4096
@@ -36,14 +37,22 @@ def bin_of(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - BINS)
 
 
+def hashes(line: Column) -> Column:
+    """Those of the distinct words, sorted."""
+    return F.sort_array(F.array_distinct(F.array_remove(F.transform(words(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))))
+
+
 def rarities(texts: DataFrame) -> bytes:
-    """Of each bin of words the `code` of how often they occur in all texts: never less than that of one of its words.
+    """Of each bin of words the `code` of how often they occur in all texts, or in the sets `hashes`: never less than that of one of its words.
 
     The counts are one row of a count-min sketch, which tasks fill each by itself and which are added up as
     2**BINS numbers. What is read here is its public layout: 20 bytes of sizes, a factor, the counts.
     """
-    each = texts.select(F.explode(words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).filter("w <> ''")
-    sketch = each.select(bin_of(F.xxhash64("w")).alias("bin")).agg(F.count_min_sketch("bin", F.lit(2.0 / (1 << BINS)), F.lit(0.5), F.lit(1)).alias("s")).first()["s"]
+    if "hashes" in texts.columns:
+        each = texts.select(F.explode("hashes").alias("h"))
+    else:
+        each = texts.select(F.explode(words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("w")).filter("w <> ''").select(F.xxhash64("w").alias("h"))
+    sketch = each.select(bin_of(F.col("h")).alias("bin")).agg(F.count_min_sketch("bin", F.lit(2.0 / (1 << BINS)), F.lit(0.5), F.lit(1)).alias("s")).first()["s"]
     depth, width = unpack_from(">ii", sketch, 12)
     if depth != 1 or len(sketch) != 28 + 8 * width:
         raise RuntimeError("the sketch isn't one row of counts")
@@ -59,8 +68,8 @@ def rarity_of_bins(spark: SparkSession, counted: bytes) -> Column:
 
     It is a scalar subquery and not a literal, which the driver would hold as text, a megabyte or more for each time that a plan is told.
     """
-    letters = spark.createDataFrame([(counted.translate(bytes(range(97, 113)) + bytes(240)).decode(),)], "codes string")
-    return written(letters.select(F.transform(F.split("codes", ""), lambda c: (F.ascii(c) - 97).cast("tinyint")).alias("codes")), "rarity").scalar()
+    letters = spark.createDataFrame([("".join(chr(c + 1) for c in counted),)], "codes string")
+    return written(letters.select(F.transform(F.split("codes", ""), lambda c: (F.ascii(c) - 1).cast("tinyint")).alias("codes")), "rarity").scalar()
 
 
 def may_have(keys: DataFrame, key: Column, own: Column) -> Column:
@@ -80,9 +89,10 @@ def may_have(keys: DataFrame, key: Column, own: Column) -> Column:
 def can_match(a: dict[str, Column], b: dict[str, Column], percent: int) -> Column:
     """Of two sets, each given by n, parity and parity_2: the most tokens that may differ, which bound the bits in which their parities differ, and the length filter."""
     n, m = a["n"], b["n"]
-    first, second = a["parity"].bitwiseXOR(b["parity"]), a["parity_2"].bitwiseXOR(b["parity_2"])
+    parity, second = a["parity"].bitwiseXOR(b["parity"]), a["parity_2"].bitwiseXOR(b["parity_2"])
     few = lambda bits: bits * (100 + percent) <= (n + m) * (100 - percent)
-    both = few(F.bit_count(first.bitwiseXOR(second))) & ((F.least(n, m) < LONG) | few(F.bit_count(first) + F.bit_count(second)))
+    # The first is what nearly all pairs fail.
+    both = few(F.bit_count(parity)) & ((F.least(n, m) < LONG) | few(F.bit_count(parity.bitwiseXOR(second)) + F.bit_count(second)))
     return both & (n * 100 >= m * percent) & (m * 100 >= n * percent)
 
 
@@ -95,8 +105,8 @@ def removed_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     nor is removed; rows with a null id come first. Ids should be unique: the lines at one place of several rows with an id
     are judged as any of them. Other columns are ignored.
 
-    The join is exact, up to hashes: 56 bits of a word's, and 128 of a set's. Lines of equal tokens are one
-    class, known by its first line. Tokens are ordered by rarity: how often all texts have them, counted in
+    The join is exact, up to hashes: 64 bits of a word's, and 128 of a set's. Lines of equal tokens are one
+    class, known by its first line. Tokens are ordered by rarity: how many lines have them, counted in
     2**BINS bins, then by hash. Classes that match share a token of their prefixes, which the sketch must have
     counted twice, and pass the length, positional and parity filters. Pairs that pass are verified on their
     tokens, read again from their first lines; the later of two that match goes.
@@ -108,32 +118,28 @@ def removed_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     """
     docs = df.select(F.col(id_col).alias("id"), F.lower(text_or_empty(text_col)).alias("text"))
     split = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    rarity = rarity_of_bins(df.sparkSession, rarities(docs))
+    # A filter on the hashes would be pushed below and compute them twice.
+    sets = written(split.filter(F.col("text").rlike(r"[^ \t\r]")).select("id", "line", hashes(F.col("text")).alias("hashes")), "sets")
+    rarity = rarity_of_bins(df.sparkSession, rarities(sets))
 
     def key(h: Column) -> Column:
         """The rarity of its bin, above the bits of the hash. Never null, so that arrays are sorted as primitive ones."""
         return F.coalesce(F.shiftleft(F.col("rarity")[bin_of(h)].cast("long"), HASH).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH)), F.lit(0).cast("long"))
 
-    def ordered(lines: DataFrame) -> DataFrame:
-        """Lines with their tokens, instead of their text, as numbers whose order is that of rarity."""
-        hashes = F.array_remove(F.transform(words(F.col("text")), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
-        # No function of arrays may have a subquery of its own.
-        return lines.withColumn("rarity", rarity).select(*(c for c in lines.columns if c != "text"), F.sort_array(F.array_distinct(F.transform(hashes, key))).alias("tokens"))
-
     n = F.size("tokens")
     bit = lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int")))
     nothing = F.lit(0).cast("long")
-    # Tokens whose seventh bit is set are counted in the second half, so both together are the parity of 64 bits.
+    # Tokens whose seventh bit is set are counted in the second half, which is zero in short lines; the first half is what the parity has beside it.
     second = F.when(n >= LONG, F.aggregate(F.filter("tokens", lambda t: t.bitwiseAND(64) != 0), nothing, bit)).otherwise(nothing)
     once, hot = (F.lit(x << HASH).cast("long") for x in (1, code(HOT)))
     # 31 bits, as an accident makes a candidate and no match, and one that says whether the token is hot; 0 for one that no other line has.
     token = lambda t: F.when(t < once, 0).otherwise(F.hash(t).bitwiseOR(1).bitwiseXOR((t < hot).cast("int")))
     prefix = F.transform(F.slice("tokens", F.lit(1), n - F.ceil(n * F.lit(percent) / F.lit(100)).cast("int") + 1), token)
-    # A filter on the tokens would be pushed below and compute them twice.
-    sets = ordered(split.filter(F.col("text").rlike(r"[^ \t\r]")))
-    names = (F.xxhash64("tokens").alias("class"), F.xxhash64(F.lit(1), "tokens").alias("class_2"))
-    halves = sets.select("id", "line", *names, n.alias("n"), F.aggregate("tokens", nothing, bit).alias("parity"), second.alias("parity_2"), prefix.alias("prefix"))
-    lines = written(halves.withColumn("parity", F.col("parity").bitwiseXOR(F.col("parity_2"))), "lines")
+    names = lambda x: (F.xxhash64(x).alias("class"), F.xxhash64(F.lit(1), x).alias("class_2"))
+    # No function of arrays may have a subquery of its own, so this is a column first.
+    ordered = sets.withColumn("rarity", rarity).select("id", "line", "hashes", F.sort_array(F.transform("hashes", key)).alias("tokens"))
+    lines = written(ordered.select("id", "line", *names("hashes"), n.alias("n"), F.aggregate("tokens", nothing, bit).alias("parity"), second.alias("parity_2"), prefix.alias("prefix")), "lines")
+    delete(sets)
     told = [F.col("id").eqNullSafe(F.col("to_id")), F.col("line") == F.col("to_line")]
     place = F.struct(F.col("id").isNotNull().alias("has"), "id", "line")
     of = lambda x: {c: F.col(f"{x}.{c}") for c in ("n", "parity", "parity_2")}
@@ -149,13 +155,13 @@ def removed_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text
         wanted = written(pairs.select("id", "line").unionByName(pairs.select("early.id", "early.line")).distinct().toDF("to_id", "to_line"), "wanted")
         some = docs.filter(may_have(wanted, F.xxhash64("to_id"), F.xxhash64("id")))
         found = some.select("id", F.posexplode(F.split("text", "\n")).alias("line", "text")).filter(may_have(wanted, F.xxhash64("to_id", "to_line"), F.xxhash64("id", "line")))
-        read = written(ordered(found.join(wanted.hint("merge"), told).select("to_id", "to_line", "text")), "tokens")
+        read = written(found.join(wanted.hint("merge"), told).select("to_id", "to_line", hashes(F.col("text")).alias("hashes")), "read")
 
         def verified(chosen: DataFrame) -> DataFrame:
-            mine = chosen.join(read, told).select("id", "line", "early", F.col("tokens").alias("own"))
+            mine = chosen.join(read, told).select("id", "line", "early", F.col("hashes").alias("own"))
             both = mine.join(read, [F.col("early.id").eqNullSafe(F.col("to_id")), F.col("early.line") == F.col("to_line")])
-            both = both.filter(F.size(F.array_intersect("own", "tokens")) * (100 + percent) >= (F.size("own") + F.size("tokens")) * percent)
-            return both.select(F.xxhash64("own").alias("class"), F.xxhash64(F.lit(1), "own").alias("class_2"), "id", "line").distinct()
+            both = both.filter(F.size(F.array_intersect("own", "hashes")) * (100 + percent) >= (F.size("own") + F.size("hashes")) * percent)
+            return both.select(*names("own"), "id", "line").distinct()
 
         if not in_turn:
             return written(verified(pairs), "sure")
@@ -185,8 +191,8 @@ def removed_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     before = (F.col("a.id") < F.col("b.id")) | (F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.line") < F.col("b.line"))) | (F.col("a.id").isNull() & F.col("b.id").isNotNull())
     positional = F.least(size["a"] - at["a"], size["b"] - at["b"]) * (100 + percent) >= (size["a"] + size["b"]) * percent
     undecided = F.shiftright(F.col("b.size_at"), 31).bitwiseAND(1) <= F.col("a.size_at").bitwiseAND(0)
-    # All conditions are of both sides (the first one for that reason alone), so that both read one exchange, whose large partitions may be split.
-    fits = undecided & can_match(*(of(x) | {"n": size[x]} for x in "ab"), percent) & positional & before
+    # All conditions are of both sides (`undecided` for that reason alone), so that both read one exchange, whose large partitions may be split.
+    fits = can_match(*(of(x) | {"n": size[x]} for x in "ab"), percent) & undecided & positional & before
     found = matched(a.join(b, (F.col("a.token") == F.col("b.token")) & fits).select(F.col("b.id").alias("id"), F.col("b.line").alias("line"), early("a")).distinct(), in_turn=True)
     firsts = classes.filter("copies > 1").select("class", "class_2", "id", "line", F.lit(False).alias("similar"))
     for gone in (decided, found):

@@ -136,3 +136,19 @@ def test_long_lines_that_share_words_are_seldom_compared(spark, monkeypatch):
     rows = [(i, " ".join(rng.sample(vocabulary, 130))) for i in range(60)]
     rows.append((60, " ".join(rows[7][1].split(" ")[:-6])))
     assert 0 < pairs_compared(spark, monkeypatch, rows)["pairs"] < 10
+
+
+def test_sets_are_made_once_and_deleted(spark, monkeypatch):
+    from pathlib import Path
+
+    files = []
+
+    def spied(df, what, real=line_dedup.written):
+        out = real(df, what)
+        files.extend(out.inputFiles() if what == "sets" else [])
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", spied)
+    rows = [(1, "a b c d e\nx"), (2, "a b c d e f\nx"), (3, "\n")]
+    assert sorted(tuple(r) for r in line_dedup.removed_lines(frame(spark, rows)).collect()) == [(2, 0, False), (2, 1, True)]
+    assert files and not any(Path(f.removeprefix("file://")).parent.exists() for f in files)
